@@ -32,6 +32,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "word_chars": F.length(F.translate("__t", " \t\n\x0b\x0c\r", "")).cast("long"),
             "n_symbols": (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long"),
             "__lines": F.expr(r"filter(split(__t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"),
+            "__runs": F.regexp_count("__t", F.lit(r"[#*$%&|<>]+")),
             "__letters": F.length(F.regexp_replace("__t", r"[^\p{L}]+", "")),
             "__upper": F.length(F.regexp_replace("__t", r"[^\p{Lu}]+", "")),
             "__stops": F.length("__t") - F.length(F.translate("__t", ".!?", "")),
@@ -53,62 +54,67 @@ def rules() -> dict[str, Column]:
     def vote(good: Column, bad: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
-    mean, symbols = F.col("word_chars") / words, F.col("n_symbols") / words
+    mean, symbols, runs = F.col("word_chars") / words, F.col("n_symbols") / words, F.col("__runs") / words
     repeats, lines = F.col("n_repeat_words") / words, F.col("n_dup_lines") / F.greatest(F.col("__n_lines"), F.lit(1))
     alphabetic, upper, stops = F.col("__letters") / F.greatest(F.col("word_chars"), F.lit(1)), F.col("__upper") / letters, F.col("__stops") / words
     return {
         "length": vote(F.col("n_words") >= 50, F.col("n_words") < MIN_WORDS),
         "word_length": vote((mean >= 3) & (mean <= 12), (mean < 2) | (mean > 25)),
-        "symbols": vote(symbols < 0.1, symbols > 0.5),
+        "symbols": vote(symbols < 0.1, symbols > 0.3),
+        "symbol_runs": vote(runs < 0.05, runs > 0.3),
         "lines": vote((lines < 0.1) & (F.col("__n_lines") >= 3), lines > 0.3),
-        "repeats": vote(repeats < 0.05, repeats > 0.2),
+        "repeats": vote(repeats < 0.05, repeats > MAX_REPEAT_PERCENT / 100),
         "letters": vote(alphabetic > 0.8, alphabetic < 0.6),
         "capitals": vote(upper < 0.2, upper > 0.5),
         "stops": vote(stops >= 0.02, (F.col("__stops") == 0) & (F.col("n_words") >= 50)),
     }
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[float, list[float]]:
-    """(share of good documents, accuracy of each rule where it votes) by expectation-maximisation.
+#: Prior vote shares (bad, abstain, good) of a rule over good and over bad documents, and the prior share of good ones.
+PRIOR_GOOD, PRIOR_BAD, PRIOR_SHARE = (0.02, 0.18, 0.8), (0.3, 0.2, 0.5), 0.85
 
-    Rules err independently given the quality. Priors keep the estimate off degenerate ends and say which class is
-    which: the share has Beta(8, 2), each accuracy Beta(16, 4), their weight a hundredth of the documents or 10.
+
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float, list[tuple[tuple[float, ...], tuple[float, ...]]]]:
+    """(share of good documents, per rule its vote shares over good and over bad ones) by expectation-maximisation.
+
+    Rules vote independently given the quality. Priors with the weight of a fiftieth of the documents, 10 at least,
+    keep the estimate off degenerate ends and say which class is which.
     """
     n, total = len(next(iter(patterns), ())), sum(patterns.values())
-    strength = max(10.0, total / 100)
-    share, accuracy = 0.8, [0.8] * n
+    weight = max(10.0, total / 50)
+    share, shares = PRIOR_SHARE, [(PRIOR_GOOD, PRIOR_BAD)] * n
     for _ in range(rounds):
-        good, right, cast = 0.8 * strength, [0.8 * strength] * n, [strength] * n
+        good, seen = PRIOR_SHARE * weight, [([p * weight for p in PRIOR_GOOD], [p * weight for p in PRIOR_BAD]) for _ in range(n)]
         for votes, count in patterns.items():
-            q = posterior(votes, share, accuracy)
+            q = posterior(votes, share, shares)
             good += count * q
             for j, v in enumerate(votes):
-                if v:
-                    cast[j] += count
-                    right[j] += count * (q if v > 0 else 1 - q)
-        share = min(0.99, max(0.01, good / (total + strength)))
-        accuracy = [min(0.99, max(0.5, r / c)) for r, c in zip(right, cast, strict=True)]
-    return share, accuracy
+                seen[j][0][v + 1] += count * q
+                seen[j][1][v + 1] += count * (1 - q)
+        share = good / (total + weight)
+        shares = [tuple(tuple(x / sum(side) for x in side) for side in sides) for sides in seen]
+    return share, shares
 
 
-def logit(p: float) -> float:
-    return math.log(p / (1 - p))
+def evidence(sides: tuple[tuple[float, ...], tuple[float, ...]]) -> list[float]:
+    """Log odds of good against bad that a rule's vote (bad, abstain, good) adds."""
+    return [math.log(g / b) for g, b in zip(*sides, strict=True)]
 
 
-def posterior(votes: tuple[int, ...], share: float, accuracy: list[float]) -> float:
-    return 1 / (1 + math.exp(-logit(share) - sum(v * logit(a) for v, a in zip(votes, accuracy, strict=True))))
+def posterior(votes: tuple[int, ...], share: float, shares: list) -> float:
+    return 1 / (1 + math.exp(-math.log(share / (1 - share)) - sum(evidence(sides)[v + 1] for v, sides in zip(votes, shares, strict=True))))
 
 
 def judged(measured: DataFrame, least: float = 0.5) -> DataFrame:
     """What ``measures`` gives, with votes, posterior quality and ``kept``; all rows stay."""
     names = list(rules())
-    voted = measured.withColumns({f"vote_{k}": v.cast("int") for k, v in rules().items()}).drop("__letters", "__upper", "__stops", "__n_lines")
+    voted = measured.withColumns({f"vote_{k}": v.cast("int") for k, v in rules().items()}).drop("__runs", "__letters", "__upper", "__stops", "__n_lines")
     voted = materialise(voted, "votes")
     counts = voted.groupBy(*[f"vote_{k}" for k in names]).agg(F.count("*").alias("n")).collect()
-    share, accuracy = estimate({tuple(r[f"vote_{k}"] for k in names): r["n"] for r in counts}) if counts else (0.8, [0.8] * len(names))
-    z = F.lit(logit(share))
-    for k, a in zip(names, accuracy, strict=True):
-        z = z + F.col(f"vote_{k}") * F.lit(logit(a))
+    share, shares = estimate({tuple(r[f"vote_{k}"] for k in names): r["n"] for r in counts} or {(0,) * len(names): 0})
+    z = F.lit(math.log(share / (1 - share)))
+    for k, sides in zip(names, shares, strict=True):
+        z = z + F.element_at(F.array(*map(F.lit, evidence(sides))), F.col(f"vote_{k}") + 2)
     quality = 1 / (1 + F.exp(-z))
     return voted.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
