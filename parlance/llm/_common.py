@@ -38,6 +38,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with all columns but ``used`` under names that no operator uses; ``toDF(*docs.columns)`` undoes it."""
+    return docs.toDF(*[c if c in used else f"__kept_{i}" for i, c in enumerate(docs.columns)])
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm._common import seeded_hash
+from parlance.llm._common import seeded_hash, shielded
 
 WORDS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -182,7 +182,7 @@ class Scorer:
         out: list = []
         for text in texts:
             words = _words(text) if text else []
-            if not words or (len(words) < 4 and not has_letter(text)):
+            if not words or not has_letter(text):
                 out.append(None)
                 continue
             total = np.zeros(len(self.model.langs))
@@ -232,11 +232,12 @@ def calibrate(model: Model, held: list[tuple[str, str]], p: Params) -> None:
             z -= z.max(axis=1, keepdims=True)
             losses.append(-(z[np.arange(len(z)), index] - np.log(np.exp(z).sum(axis=1))).mean())
         model.temperature = float(grid[int(np.argmin(losses))])
+        right = entropy[np.arange(len(index)), index]
         for k in range(len(model.langs)):
-            own = entropy[index == k, k]
-            if len(own) >= 10:
-                mean = np.median(own)
-                model.limit[k] = mean, max(p.slack * (own.max() - mean), p.min_margin)
+            own = right[index == k]
+            own = own if len(own) >= 10 else right  # too few rows of its own: those of all languages
+            mean = np.median(own)
+            model.limit[k] = mean, max(p.slack * (own.max() - mean), p.min_margin)
 
 
 def train(docs: DataFrame, p: Params = Params()) -> Model | None:
@@ -318,5 +319,10 @@ def language_id(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def accepted_only(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows, in all columns of ``docs``, whose language is told with confidence; rejected rows go."""
-    return predict(docs, train(docs, p), docs.columns).where("accepted").select(docs.columns)
+    """The rows, in all columns of ``docs``, whose language is told with confidence; rejected rows go.
+
+    Rejected are null texts, texts without a letter, and texts whose cross-entropy is beyond the calibrated limit of
+    every language. Further columns of any name stay as they are.
+    """
+    safe = shielded(docs, "doc_id", "text", "lang")
+    return predict(safe, train(safe, p), safe.columns).where("accepted").select(safe.columns).toDF(*docs.columns)

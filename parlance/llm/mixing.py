@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm._common import WORD_RX, materialise
+from parlance.llm._common import WORD_RX, materialise, shielded
 
 SEED, BINS = "mix-2026", 1024
 
@@ -18,6 +18,12 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RX)), F.lit(0)).cast("long")
 
 
+def draw_of(seed: str) -> Column:
+    """A seeded hash of the document's id, or of its text where it has none."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce("text", F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(seed), key).cast("binary"))
+
+
 def water_fill(sources: DataFrame, weights: list[float], share: float, max_epochs: float) -> DataFrame:
     """(source, source_size, target): targets by weight that sum to ``share`` of all sizes, none above max_epochs sizes.
 
@@ -38,17 +44,16 @@ def water_fill(sources: DataFrame, weights: list[float], share: float, max_epoch
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row.
+    """doc_id, size, source_size, target, taken and draw (its seeded hash) of every row.
 
     A source of target t and size s takes every document floor(t / s) times whole. Of the rest, a part of a repetition,
     it takes documents in the order of a seeded hash until the target is met; the document in which it is met gives
     its first words only. So each source takes its target, rounded down to a word. Where t = s * max_epochs the rest
     is nothing. The threshold is found by two levels of histograms of the hash, then among a millionth of the source's
     rows. Null texts have size 0 and null sources form one source, the last. Rows with a null doc_id draw by their
-    size. Repeated rows are told apart by their count: identical rows stand side by side in the order.
+    text. Repeated rows are told apart by their count: identical rows stand side by side in the order.
     """
-    draw = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = materialise(docs.select(F.col("doc_id").cast("long"), "source", word_count().alias("size"), draw.alias("draw")), "sizes")
+    sized = materialise(docs.select(F.col("doc_id").cast("long"), "source", word_count().alias("size"), draw_of(seed).alias("draw")), "sizes")
     sized = sized.withColumns({"bin": F.conv(F.substring("draw", 1, 5), 16, 10).cast("int"), "key": F.struct("draw", "doc_id", "size")})
     sized = sized.withColumns({"bin2": F.col("bin") % BINS, "bin1": F.floor(F.col("bin") / BINS).cast("int")})
 
@@ -81,12 +86,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     taken = F.when(F.col("edge1").isNull(), F.when(F.col("rest") > 0, F.col("size")).otherwise(0))
     taken = taken.when(F.col("bin1") != F.col("edge1"), F.when(F.col("bin1") < F.col("edge1"), F.col("size")).otherwise(0))
     taken = taken.otherwise(F.when(F.col("bin2") < F.col("edge2"), F.col("size")).otherwise(0))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "draw"]
     inside = F.coalesce(here, F.lit(False))
     sure = tagged.where(~inside).select(*columns, taken.alias("part"))
     near = by_source(last, plan).select(*columns, "part")
     out = sure.unionByName(near)
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("whole") * F.col("size") + F.coalesce("part", F.lit(0))).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("whole") * F.col("size") + F.coalesce("part", F.lit(0))).cast("long").alias("taken"), "draw")
 
 
 #: Tables with at most this many rows are broadcast; larger ones are joined by key, where skew is split at run time.
@@ -106,19 +111,22 @@ def by_source(left: DataFrame, right: DataFrame, how: str = "inner", on: list[st
     return left.join(right, same, how).drop("__source", *(f"__{c}" for c in on or []))
 
 
-def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus in the columns of ``docs``: each row as often as the mix takes it, rounded to whole texts."""
-    shares = mix(docs, **options).where("doc_id is not null").groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+def sampled(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """The mixed corpus in the columns of ``docs``: each row as often as the mix takes it, rounded to whole texts.
+
+    Rows without a word are taken once. Repeated rows are taken alike. Further columns of any name stay as they are.
+    """
+    safe = shielded(docs, "doc_id", "text", "source")
+    shares = mix(safe, seed=seed, **options).groupBy("draw", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size") / F.col("rows"))).otherwise(1).cast("int")
-    shares = shares.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), times.alias("__times"))
-    keyed = docs.withColumn("__words", word_count())
-    out = keyed.join(shares, (keyed.doc_id == shares["__id"]) & (keyed["__words"] == shares["__size"]))
-    return out.where("__times > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*[keyed[c] for c in docs.columns])
+    shares = shares.select("draw", "size", times.alias("times")).where("times > 0")
+    rows = safe.withColumns({"draw": draw_of(seed), "size": word_count()}).join(shares, ["draw", "size"])
+    return rows.select(*safe.columns, F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).drop("copy").toDF(*docs.columns)
 
 
 ORACLE_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS BIGINT) AS size, md5('mix-2026:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS BIGINT) AS size, md5('mix-2026:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(text, ''))) AS draw
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source

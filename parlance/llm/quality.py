@@ -36,6 +36,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "__letters": F.length(F.regexp_replace("__t", r"[^\p{L}]+", "")),
             "__upper": F.length(F.regexp_replace("__t", r"[^\p{Lu}]+", "")),
             "__stops": F.length("__t") - F.length(F.translate("__t", ".!?", "")),
+            "__stutter": F.expr("size(filter(__words, (w, i) -> i > 0 and w = get(__words, i - 1)))"),
             "__h": F.expr(f"if(size(__words) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(1, size(__words) - {WINDOW - 1}), i -> xxhash64(slice(__words, i, {WINDOW}))))"),
         }
     )
@@ -56,14 +57,16 @@ def rules() -> dict[str, Column]:
 
     mean, symbols, runs = F.col("word_chars") / words, F.col("n_symbols") / words, F.col("__runs") / words
     repeats, lines = F.col("n_repeat_words") / words, F.col("n_dup_lines") / F.greatest(F.col("__n_lines"), F.lit(1))
+    stutter = F.col("__stutter") / words
     alphabetic, upper, stops = F.col("__letters") / F.greatest(F.col("word_chars"), F.lit(1)), F.col("__upper") / letters, F.col("__stops") / words
     return {
         "length": vote(F.col("n_words") >= 50, F.col("n_words") < MIN_WORDS),
         "word_length": vote((mean >= 3) & (mean <= 12), (mean < 2) | (mean > 25)),
         "symbols": vote(symbols < 0.1, symbols > 0.3),
         "symbol_runs": vote(runs < 0.05, runs > 0.3),
-        "lines": vote((lines < 0.1) & (F.col("__n_lines") >= 3), lines > 0.3),
+        "lines": vote((lines < 0.1) & (F.col("__n_lines") >= 3), (lines > 0.3) & (F.col("n_dup_lines") >= 3)),
         "repeats": vote(repeats < 0.05, repeats > MAX_REPEAT_PERCENT / 100),
+        "stutter": vote(stutter < 0.05, stutter > 0.2),
         "letters": vote(alphabetic > 0.8, alphabetic < 0.6),
         "capitals": vote(upper < 0.2, upper > 0.5),
         "stops": vote(stops >= 0.02, (F.col("__stops") == 0) & (F.col("n_words") >= 50)),
@@ -74,14 +77,14 @@ def rules() -> dict[str, Column]:
 PRIOR_GOOD, PRIOR_BAD, PRIOR_SHARE = (0.02, 0.18, 0.8), (0.3, 0.2, 0.5), 0.85
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float, list[tuple[tuple[float, ...], tuple[float, ...]]]]:
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60, prior: float = 1 / 50) -> tuple[float, list[tuple[tuple[float, ...], tuple[float, ...]]]]:
     """(share of good documents, per rule its vote shares over good and over bad ones) by expectation-maximisation.
 
-    Rules vote independently given the quality. Priors with the weight of a fiftieth of the documents, 10 at least,
-    keep the estimate off degenerate ends and say which class is which.
+    Rules vote independently given the quality. Priors with the weight of a share ``prior`` of the documents, 10
+    at least, keep the estimate off degenerate ends and say which class is which.
     """
     n, total = len(next(iter(patterns), ())), sum(patterns.values())
-    weight = max(10.0, total / 50)
+    weight = max(10.0, total * prior)
     share, shares = PRIOR_SHARE, [(PRIOR_GOOD, PRIOR_BAD)] * n
     for _ in range(rounds):
         good, seen = PRIOR_SHARE * weight, [([p * weight for p in PRIOR_GOOD], [p * weight for p in PRIOR_BAD]) for _ in range(n)]
@@ -108,7 +111,7 @@ def posterior(votes: tuple[int, ...], share: float, shares: list) -> float:
 def judged(measured: DataFrame, least: float = 0.5) -> DataFrame:
     """What ``measures`` gives, with votes, posterior quality and ``kept``; all rows stay."""
     names = list(rules())
-    voted = measured.withColumns({f"vote_{k}": v.cast("int") for k, v in rules().items()}).drop("__runs", "__letters", "__upper", "__stops", "__n_lines")
+    voted = measured.withColumns({f"vote_{k}": v.cast("int") for k, v in rules().items()}).drop("__runs", "__letters", "__upper", "__stops", "__n_lines", "__stutter")
     voted = materialise(voted, "votes")
     counts = voted.groupBy(*[f"vote_{k}" for k in names]).agg(F.count("*").alias("n")).collect()
     share, shares = estimate({tuple(r[f"vote_{k}"] for k in names): r["n"] for r in counts} or {(0,) * len(names): 0})

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm._common import seeded_hash, text_or_empty
+from parlance.llm._common import seeded_hash, shielded, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -121,11 +121,15 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with each span, overlapping ones together, replaced by ``mark``; n_chars follows the text if it is there."""
-    df = find(docs, train(docs))
+    """``docs`` with each span, overlapping ones together, replaced by ``mark``; n_chars follows the text if it is there.
+
+    Texts without a span, null ones included, and further columns of any name stay as they are. All rows stay.
+    """
+    safe = shielded(docs, "doc_id", "text", "n_chars")
+    df = find(safe, train(safe))
     fold = f"""aggregate(__spans, named_struct('at', 0, 'out', ''), (acc, x) -> if(x.e <= acc.at, acc, named_struct('at', x.e, 'out',
         if(x.s < acc.at, acc.out, concat(acc.out, substring(__text, acc.at + 1, x.s - acc.at), '{mark}')))), acc -> concat(acc.out, substring(__text, acc.at + 1, length(__text))))"""
     df = df.withColumn("text", F.when(F.size("__spans") > 0, F.expr(fold)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(docs.columns)
+    return df.select(safe.columns).toDF(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import golay
-from parlance.llm._common import materialise
+from parlance.llm._common import materialise, shielded
 from parlance.llm.components import connected_components
 
 SHINGLE_WORDS, MAX_BITS = 3, 2
@@ -95,8 +95,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near-copies: of each component the row with the smallest doc_id stays, in all its columns.
 
-    Rows with a null doc_id have no identity to decide by and stay. Repeated rows with one doc_id: one stays.
+    Rows with a null doc_id have no identity to decide by and stay. Of repeated rows with one doc_id and text one
+    stays. Further columns of any name stay as they are.
     """
-    chosen = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    safe = shielded(docs, "doc_id", "text")
+    chosen = near_duplicates(safe).where("doc_id = component_id").select("doc_id").distinct()
+    kept = safe.where("doc_id is not null").join(chosen, "doc_id", "left_semi").withColumn("__text_hash", F.xxhash64("text"))
+    kept = kept.dropDuplicates(["doc_id", "__text_hash"])
+    return kept.select(safe.columns).unionByName(safe.where("doc_id is null")).toDF(*docs.columns)
