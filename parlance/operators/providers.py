@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import hash32
-from parlance.operators.vectors import l2_normalise
+from parlance.operators.vectors import EPSILON
 
 
-def hashed_embedding(text: Column, dims: int = 64) -> Column:
-    """Feature hashing of lower-cased words: bucket and sign from the MD5; not normalised."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: hash32(w))
-    zero = F.array_repeat(F.lit(0.0), dims)
-    # One pass over the words per dimension is dims x words; counting by sorted bucket is not worth it at 64.
-    return F.when(F.size(words) == 0, zero).otherwise(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(hashes, F.lit(0.0), lambda acc, h: acc + F.when(h % dims == d, F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0))))
+class HashedEmbedder:
+    """Feature hashing of lower-cased words: bucket and sign from the MD5 of the word; keeps the words that it has seen."""
 
+    def __init__(self, dims: int = 64, cap: int = 200_000):
+        self.dims, self.cap, self.known = dims, cap, {}
 
-def embed_distinct(windows: DataFrame, dims: int = 64, embed: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Adds ``vec`` to (.., window, text) rows; equal texts are embedded once."""
-    make = embed or (lambda t: hashed_embedding(t, dims))
-    texts = windows.select("text").distinct().withColumn("raw", make(F.col("text"))).withColumn("vec", l2_normalise("raw")).drop("raw")
+    def _hash(self, word: str) -> int:
+        if word not in self.known:
+            if len(self.known) >= self.cap:
+                self.known.clear()
+            self.known[word] = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
+        return self.known[word]
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dims))
+        for i, text in enumerate(texts):
+            h = np.array([self._hash(w) for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w], np.int64)
+            np.add.at(out[i], h % self.dims, np.where(h // self.dims % 2 == 0, 1.0, -1.0))
+        return out
+
+
+def embed_distinct(windows: DataFrame, dims: int = 64, provider: Callable[[], Callable[[list], np.ndarray]] | None = None) -> DataFrame:
+    """Adds ``vec``, normalised, to (.., window, text) rows; equal texts are embedded once.
+
+    ``provider`` makes an embedder, once in each task: a function from texts to a matrix of ``dims`` columns. Null texts
+    have no vector and no row.
+    """
+    make = provider or (lambda: HashedEmbedder(dims))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = make()
+        for batch in batches:
+            m = np.asarray(embed(batch.column(0).to_pylist()), np.float64).reshape(batch.num_rows, dims)
+            unit = m / (np.linalg.norm(m, axis=1, keepdims=True) + EPSILON)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * dims), pa.array(unit.reshape(-1)))
+            yield pa.record_batch([batch.column(0), lists], ["text", "vec"])
+
+    texts = windows.select("text").where("text is not null").distinct().mapInArrow(run, "text string, vec array<double>")
     return windows.join(texts, "text")
 
 

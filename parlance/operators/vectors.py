@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 EPSILON = 1e-8
 #: Most queries of one block; a block's matrix of doubles stays under 32 MB at 1,000 dimensions.
 BLOCK = 4096
+#: Candidates that meet a block at once: 32 MB of scores.
+CHUNK = 1024
 
 
 def norm(v: str) -> str:
@@ -70,10 +72,11 @@ def topk(queries: DataFrame, candidates: DataFrame, weights: dict[str, float], n
     """(query_id, rank, cand_id, score): the best k candidates of each query, score rounded to 6 places, ties by id.
 
     Candidates of the query's own group are left out (``drop``), or stay with a score of minus infinity (``mask``), or
-    count like any other (``keep``). Null ids and vectors have no result. With under k candidates all are returned.
+    count like any other (``keep``). A null group is no group: nothing is left out for it. Null ids and vectors have no
+    result. With under k candidates all are returned.
     """
     kept = normalise_weights(weights, names)
-    scale = np.repeat([kept.get(n, 0.0) for n in names], 1)
+    scale = np.array([kept.get(n, 0.0) for n in names])
     asked = queries.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).select(id_column, F.col(group).cast("string").alias("g"), vector)
     found = candidates.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).select(id_column, F.col(group).cast("string").alias("g"), vector)
     spark, out, block, parts = queries.sparkSession, "query_id long, cand_id long, score double", [], []
@@ -93,41 +96,43 @@ def topk(queries: DataFrame, candidates: DataFrame, weights: dict[str, float], n
 
 def _against(spark, block: list, found: DataFrame, scale: np.ndarray, k: int, same_group: str, schema: str) -> DataFrame:
     ids = np.array([r[0] for r in block], np.int64)
-    groups = np.array([r[1] if r[1] is not None else "\0null" for r in block], object)
+    codes: dict[str, int] = {}
+    groups = np.array([codes.setdefault(r[1], len(codes)) if r[1] is not None else -1 for r in block], np.int64)
     matrix = np.array([r[2] for r in block], np.float64)
     if len(block):
         unit = unit_windows(matrix, len(scale)).reshape(len(block), len(scale), -1) * scale[None, :, None]
         matrix = unit.reshape(len(block), -1)
-    shared = spark.sparkContext.broadcast((ids, groups, matrix))
+    shared = spark.sparkContext.broadcast((ids, codes, groups, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, qgroup, q = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in qid]
+        qid, codes, qgroup, q = shared.value
+        row, score, cand = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        least = np.full(len(qid), -np.inf)  # the k-th best score of each query so far
         for batch in batches:
-            if not batch.num_rows or not len(qid):
-                continue
-            cid = batch.column(0).to_numpy(zero_copy_only=False)
-            cgroup = np.array([g if g is not None else "\0null" for g in batch.column(1).to_pylist()], object)
-            c = unit_windows(_matrix(batch.column(2), q.shape[1]), len(scale))
-            scores = np.round(q @ c.T, 6) + 0.0
-            if same_group != "keep":
-                same = qgroup[:, None] == cgroup[None, :]
-                scores[same] = -np.inf
-            for i in range(len(qid)):
-                s, ids_ = scores[i], cid
+            for at in range(0, batch.num_rows if len(qid) else 0, CHUNK):
+                part = batch.slice(at, CHUNK)
+                cid = part.column(0).to_numpy(zero_copy_only=False)
+                cgroup = np.array([codes.get(g, -2) for g in part.column(1).to_pylist()], np.int64)
+                s = np.round(q @ unit_windows(_matrix(part.column(2), q.shape[1]), len(scale)).T, 6) + 0.0
+                same = qgroup[:, None] == cgroup[None, :] if same_group != "keep" else None
+                if same is not None:
+                    s[same] = -np.inf
+                if s.shape[1] > k:
+                    least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                good = s >= least[:, None]
                 if same_group == "drop":
-                    ok = s > -np.inf
-                    s, ids_ = s[ok], ids_[ok]
-                s, ids_ = np.concatenate([best[i][1], s]), np.concatenate([best[i][0], ids_])
-                if len(s) > k:
-                    edge = np.partition(s, len(s) - k)[len(s) - k]
-                    ok = s >= edge
-                    s, ids_ = s[ok], ids_[ok]
-                order = np.lexsort((ids_, -s))[:k]
-                best[i] = ids_[order], s[order]
-        rows = [len(b[0]) for b in best]
-        if sum(rows):
-            yield pa.record_batch([pa.array(np.repeat(qid, rows)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "cand_id", "score"])
+                    good &= ~same
+                r, c = np.nonzero(good)
+                row, score, cand = np.concatenate([row, r]), np.concatenate([score, s[r, c]]), np.concatenate([cand, cid[c]])
+                order = np.lexsort((cand, -score, row))
+                row, score, cand = row[order], score[order], cand[order]
+                first = np.searchsorted(row, row)
+                nth = np.arange(len(row)) - first
+                last = nth == k - 1
+                least[row[last]] = np.maximum(least[row[last]], score[last])
+                row, score, cand = row[nth < k], score[nth < k], cand[nth < k]
+        if len(row):
+            yield pa.record_batch([pa.array(qid[row]), pa.array(cand), pa.array(score)], ["query_id", "cand_id", "score"])
 
     return found.mapInArrow(run, schema)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from parlance.plans import transcript_queries, vector_queries
+
 
 def queries() -> dict:
-    return {}
+    return transcript_queries.FOUND | vector_queries.FOUND
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return transcript_queries.SQL | vector_queries.SQL

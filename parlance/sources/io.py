@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,15 @@ SUMMARIES = "key string, summary string, seq long"
 TRIALS = "trial int, value double, n_ratings long"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
+    chosen = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not chosen:
+        chosen = tempfile.mkdtemp(prefix="parlance-shared-")
+        spark.conf.set("spark.checkpoint.dir", chosen)
+    return f"{chosen.rstrip('/')}/parlance-{name}-{uuid.uuid4().hex}"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
     """A malformed line raises, as silent nulls would shrink the data."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
