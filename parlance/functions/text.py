@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,9 +41,22 @@ def token_ids(token_array: Column, markers: tuple[str, ...]) -> Column:
     return F.transform(token_array, one)
 
 
+@lru_cache(maxsize=1)
+def _digits() -> tuple[str, str]:
+    """All decimal digits beyond ASCII and what they mean."""
+    found = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
+
+
+def integer(c: Column) -> Column:
+    """A text of decimal digits of any script as an int; null if it is none or too large."""
+    return F.translate(c, *_digits()).try_cast("int")
+
+
 def rating(c: Column) -> Column:
     """A judge's answer as 1 to 5; what is no integer counts as 3."""
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), strip(c).try_cast("int"))), F.lit(3))
+    n = strip(c).try_cast("int")
+    return F.when(n.isNull(), 3).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), n)))
 
 
 def trim_response(c: Column, eos: str | None = None) -> Column:

@@ -1,4 +1,4 @@
-"""Ratings: append-only caches, weight search over precomputed similarities, hold-out comparison, failures, pairs."""
+"""Ratings: append-only caches, weight search in one pass over all trials, hold-out comparison, failures, pairs."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import hash32
+from parlance.operators.vectors import breakdown, topk_trials
 
 
 def latest(cache: DataFrame, key: str, value: str, order: str = "seq") -> DataFrame:
@@ -32,19 +33,20 @@ def trial_weights(trials: DataFrame, names: list[str], seed: int = 42, low: floa
     return rows.withColumn("weight", F.round(F.col("raw") / F.sum("raw").over(Window.partitionBy("trial")), 4))
 
 
-def search(sims: DataFrame, weights: DataFrame, names: list[str], judge: Column, k: int = 5) -> DataFrame:
-    """(trial, query_id, rank, cand_id, score, rating) of every trial from similarities made once.
+def search(queries: DataFrame, candidates: DataFrame, weights: DataFrame, names: list[str], judge: Column, k: int = 5, **options) -> DataFrame:
+    """(trial, query_id, rank, cand_id, score, rating) of every trial.
 
-    Weights of all trials are one bounded row per trial and are broadcast; only each partition's best k of a trial and
-    query are shuffled (window group limit).
+    All trials' retrievals are one job, in which each partition keeps its best k of a trial and query; the judge sees
+    every distinct pair once. ``weights`` (trial, window, weight) is a bounded table of stated trials; ``judge`` reads
+    the columns sim_<window> of a pair.
     """
-    wide = weights.groupBy("trial").pivot("window", names).agg(F.first("weight"))
-    wide = wide.select("trial", *[F.col(f"`{n}`").alias(f"w_{n}") for n in names])
-    pairs = sims.withColumn("rating", judge).crossJoin(F.broadcast(wide))  # a bounded number of trials
-    score = F.round(sum((F.col(f"w_{n}") * F.col(f"sim_{n}") for n in names), F.lit(0.0)), 6)
-    pairs = pairs.select("trial", "query_id", "cand_id", score.alias("score"), "rating")
-    rank = F.row_number().over(Window.partitionBy("trial", "query_id").orderBy(F.col("score").desc(), "cand_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    trials: dict[int, dict[str, float]] = {}
+    for r in weights.select("trial", "window", "weight").collect():
+        trials.setdefault(r["trial"], {})[r["window"]] = r["weight"]
+    best = topk_trials(queries, candidates, trials, names, k, **options)
+    pairs = breakdown(best.select("query_id", "cand_id").distinct(), queries, candidates, names)
+    rated = pairs.select("query_id", "cand_id", judge.alias("rating"))
+    return best.join(rated, ["query_id", "cand_id"]).select(F.col("trial").cast("int").alias("trial"), "query_id", "rank", "cand_id", "score", "rating")
 
 
 def trial_values(results: DataFrame) -> DataFrame:

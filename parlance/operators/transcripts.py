@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import TURN, strip
+from parlance.functions.text import TURN, integer, strip
 
 TURNS = "array<struct<speaker:string,index:int,text:string>>"
 
@@ -51,7 +51,7 @@ def parse(df: DataFrame, column: str = "transcript") -> DataFrame:
     text = F.coalesce(F.col(column), F.lit(""))
     parts = [F.regexp_extract_all(text, F.lit(TURN), F.lit(g)) for g in (1, 2, 3)]
     zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("speaker", "index", "text"), strict=True)])
-    turns = F.transform(zipped, lambda t: F.struct(t["speaker"].alias("speaker"), t["index"].cast("int").alias("index"), strip(t["text"]).alias("text")))
+    turns = F.transform(zipped, lambda t: F.struct(t["speaker"].alias("speaker"), integer(t["index"]).alias("index"), strip(t["text"]).alias("text")))
     return df.withColumn("turns", turns)
 
 

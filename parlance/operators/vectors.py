@@ -76,36 +76,50 @@ def topk(queries: DataFrame, candidates: DataFrame, weights: dict[str, float], n
     result. With under k candidates all are returned.
     """
     kept = normalise_weights(weights, names)
-    scale = np.array([kept.get(n, 0.0) for n in names])
-    asked = queries.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).select(id_column, F.col(group).cast("string").alias("g"), vector)
-    found = candidates.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).select(id_column, F.col(group).cast("string").alias("g"), vector)
-    spark, out, block, parts = queries.sparkSession, "query_id long, cand_id long, score double", [], []
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            parts.append(_against(spark, block, found, scale, k, same_group, out))
-            block = []
+    scales = {0: np.array([kept.get(n, 0.0) for n in names])}
+    return _best(queries, candidates, scales, k, id_column, group, vector, same_group).drop("trial")
+
+
+def topk_trials(queries: DataFrame, candidates: DataFrame, trials: dict[int, dict[str, float]], names: list[str], k: int = 5, id_column: str = "vec_id", group: str = "label", vector: str = "embedding", same_group: str = "drop") -> DataFrame:
+    """(trial, query_id, rank, cand_id, score): ``topk`` under each trial's weights, as they are, in one pass per block.
+
+    ``trials`` is a bounded table; a query under a trial's weights is one row of a block.
+    """
+    scales = {t: np.array([w.get(n, 0.0) for n in names]) for t, w in sorted(trials.items())}
+    return _best(queries, candidates, scales, k, id_column, group, vector, same_group)
+
+
+def _best(queries: DataFrame, candidates: DataFrame, scales: dict[int, np.ndarray], k: int, id_column: str, group: str, vector: str, same_group: str) -> DataFrame:
+    rows = [df.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).select(id_column, F.col(group).cast("string").alias("g"), vector) for df in (queries, candidates)]
+    block, parts = [], []
+    for row in rows[0].toLocalIterator():
+        for trial, scale in scales.items():
+            block.append((trial, row[0], row[1], np.array(row[2], np.float64), scale))
+            if len(block) == BLOCK:
+                parts.append(_against(block, rows[1], k, same_group))
+                block = []
     if block or not parts:
-        parts.append(_against(spark, block, found, scale, k, same_group, out))
+        parts.append(_against(block, rows[1], k, same_group))
     best = parts[0]
     for p in parts[1:]:
         best = best.union(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "cand_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "cand_id", "score")
+    rank = F.row_number().over(Window.partitionBy("trial", "query_id").orderBy(F.col("score").desc(), "cand_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("trial", "query_id", "rank", "cand_id", "score")
 
 
-def _against(spark, block: list, found: DataFrame, scale: np.ndarray, k: int, same_group: str, schema: str) -> DataFrame:
-    ids = np.array([r[0] for r in block], np.int64)
+def _against(block: list[tuple], found: DataFrame, k: int, same_group: str) -> DataFrame:
+    trials, ids = (np.array([r[i] for r in block], np.int64) for i in (0, 1))
     codes: dict[str, int] = {}
-    groups = np.array([codes.setdefault(r[1], len(codes)) if r[1] is not None else -1 for r in block], np.int64)
-    matrix = np.array([r[2] for r in block], np.float64)
+    groups = np.array([codes.setdefault(r[2], len(codes)) if r[2] is not None else -1 for r in block], np.int64)
+    windows = len(block[0][4]) if block else 1
+    matrix = np.array([r[3] for r in block], np.float64)
     if len(block):
-        unit = unit_windows(matrix, len(scale)).reshape(len(block), len(scale), -1) * scale[None, :, None]
+        unit = unit_windows(matrix, windows).reshape(len(block), windows, -1) * np.array([r[4] for r in block])[:, :, None]
         matrix = unit.reshape(len(block), -1)
-    shared = spark.sparkContext.broadcast((ids, codes, groups, matrix))
+    shared = found.sparkSession.sparkContext.broadcast((trials, ids, codes, groups, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, codes, qgroup, q = shared.value
+        trial, qid, codes, qgroup, q = shared.value
         row, score, cand = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         least = np.full(len(qid), -np.inf)  # the k-th best score of each query so far
         for batch in batches:
@@ -113,7 +127,7 @@ def _against(spark, block: list, found: DataFrame, scale: np.ndarray, k: int, sa
                 part = batch.slice(at, CHUNK)
                 cid = part.column(0).to_numpy(zero_copy_only=False)
                 cgroup = np.array([codes.get(g, -2) for g in part.column(1).to_pylist()], np.int64)
-                s = np.round(q @ unit_windows(_matrix(part.column(2), q.shape[1]), len(scale)).T, 6) + 0.0
+                s = np.round(q @ unit_windows(_matrix(part.column(2), q.shape[1]), windows).T, 6) + 0.0
                 same = qgroup[:, None] == cgroup[None, :] if same_group != "keep" else None
                 if same is not None:
                     s[same] = -np.inf
@@ -132,9 +146,9 @@ def _against(spark, block: list, found: DataFrame, scale: np.ndarray, k: int, sa
                 least[row[last]] = np.maximum(least[row[last]], score[last])
                 row, score, cand = row[nth < k], score[nth < k], cand[nth < k]
         if len(row):
-            yield pa.record_batch([pa.array(qid[row]), pa.array(cand), pa.array(score)], ["query_id", "cand_id", "score"])
+            yield pa.record_batch([pa.array(trial[row]), pa.array(qid[row]), pa.array(cand), pa.array(score)], ["trial", "query_id", "cand_id", "score"])
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, "trial long, query_id long, cand_id long, score double")
 
 
 def topk_expressions(queries: DataFrame, candidates: DataFrame, weights: dict[str, float], names: list[str], k: int = 5) -> DataFrame:
@@ -148,23 +162,9 @@ def topk_expressions(queries: DataFrame, candidates: DataFrame, weights: dict[st
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "cand_id", "score")
 
 
-def breakdown(top: DataFrame, vectors: DataFrame, names: list[str]) -> DataFrame:
-    """``top`` with one column sim_<window> each: the cosine of the pair in that window."""
-    unit = split_windows(vectors, "embedding", names)
-    q = unit.select(F.col("vec_id").alias("query_id"), *[F.col(f"n_{n}").alias(f"q_{n}") for n in names])
-    c = unit.select(F.col("vec_id").alias("cand_id"), *[F.col(f"n_{n}").alias(f"c_{n}") for n in names])
+def breakdown(top: DataFrame, queries: DataFrame, candidates: DataFrame, names: list[str]) -> DataFrame:
+    """``top`` with one column sim_<window> each: the cosine of the pair in that window. Ids are unique in each table."""
+    q = split_windows(queries, "embedding", names).select(F.col("vec_id").alias("query_id"), *[F.col(f"n_{n}").alias(f"q_{n}") for n in names])
+    c = split_windows(candidates, "embedding", names).select(F.col("vec_id").alias("cand_id"), *[F.col(f"n_{n}").alias(f"c_{n}") for n in names])
     both = top.join(q, "query_id").join(c, "cand_id")
     return both.select(*top.columns, *[F.round(dot(f"q_{n}", f"c_{n}"), 6).alias(f"sim_{n}") for n in names])
-
-
-def similarities(queries: DataFrame, candidates: DataFrame, names: list[str], group: str = "label") -> DataFrame:
-    """(query_id, cand_id, sim_<window>...) of a small stated query set against all rows of other groups.
-
-    Made once for a weight search, in place of a retrieval per trial; queries are broadcast behind a check of their
-    number.
-    """
-    if queries.count() > BLOCK:
-        raise ValueError(f"more than {BLOCK} queries")
-    q = split_windows(queries, "embedding", names).select(F.col("vec_id").alias("query_id"), F.col(group).alias("q_group"), *[F.col(f"n_{n}").alias(f"q_{n}") for n in names])
-    c = split_windows(candidates, "embedding", names).select(F.col("vec_id").alias("cand_id"), F.col(group).alias("c_group"), *[F.col(f"n_{n}").alias(f"c_{n}") for n in names])
-    return F.broadcast(q).join(c, F.col("q_group") != F.col("c_group")).select("query_id", "cand_id", *[F.round(dot(f"q_{n}", f"c_{n}"), 6).alias(f"sim_{n}") for n in names])

@@ -107,7 +107,8 @@ def masked_topk(spark, sf):
 
 @query(f"WITH {topk_sql(UNIFORM)} SELECT b.*, " + ", ".join(f"round(list_inner_product(q.n{j}, c.n{j}), 6) + 0.0 AS sim_{p}" for j, p in enumerate(PARTS)) + " FROM best b JOIN units q ON q.vec_id = query_id JOIN units c ON c.vec_id = cand_id")
 def similarity_breakdown(spark, sf):
-    return vectors.breakdown(composite_topk(spark, sf), table(spark, sf, "embeddings"), PARTS)
+    e = table(spark, sf, "embeddings")
+    return vectors.breakdown(composite_topk(spark, sf), asked(e), e, PARTS)
 
 
 @query(f"WITH {topk_sql(UNIFORM, 'c.label = 0', f'q.label = 1 AND q.vec_id % {EVERY} < 5')} SELECT * FROM best")
@@ -182,7 +183,10 @@ def index_round_trip(spark, sf):
 
 
 # --- samples ----------------------------------------------------------------------------------------------------------
-_KEY = F.concat_ws("|", F.col("conv_id").cast("string"), F.col("state_index").cast("string"))
+def state_key():
+    return F.concat_ws("|", F.col("conv_id").cast("string"), F.col("state_index").cast("string"))
+
+
 BINNED = f"""{STATES}, sized AS (SELECT conv_id, state_index, count(*) OVER (PARTITION BY conv_id) AS n_states, max(state_index) OVER (PARTITION BY conv_id) AS last FROM states),
 several AS (SELECT *, state_index / greatest(last, 1) AS position FROM sized WHERE n_states > 1),
 edges AS (SELECT quantile_cont(n_states, 1 / 3) AS low, quantile_cont(n_states, 2 / 3) AS high FROM several),
@@ -203,14 +207,14 @@ def strata_counts(spark, sf):
 
 @query(f"WITH {SAMPLED} SELECT * FROM sampled")
 def stratified_sample(spark, sf):
-    return sampling.sample(binned(spark, sf), DEFAULTS.eval_states, DEFAULTS.eval_seed, _KEY).select("conv_id", "state_index", "stratum")
+    return sampling.sample(binned(spark, sf), DEFAULTS.eval_states, DEFAULTS.eval_seed, state_key()).select("conv_id", "state_index", "stratum")
 
 
 @query(f"WITH {SAMPLED}, h AS (SELECT conv_id, state_index FROM states ORDER BY {HASH.format("'99|' || conv_id || '|' || state_index")}, conv_id, state_index LIMIT 30) SELECT h.* FROM h ANTI JOIN sampled USING (conv_id, state_index)")
 def holdout_split(spark, sf):
-    chosen = sampling.sample(binned(spark, sf), DEFAULTS.eval_states, DEFAULTS.eval_seed, _KEY)
+    chosen = sampling.sample(binned(spark, sf), DEFAULTS.eval_states, DEFAULTS.eval_seed, state_key())
     every = state_rows(spark, sf).select("conv_id", "state_index")
-    return sampling.holdout(every, chosen, DEFAULTS.holdout, DEFAULTS.holdout_seed, _KEY).select("conv_id", "state_index")
+    return sampling.holdout(every, chosen, DEFAULTS.holdout, DEFAULTS.holdout_seed, state_key()).select("conv_id", "state_index")
 
 
 @query(f"WITH {STATES}, numbered AS (SELECT conv_id, state_index, row_number() OVER (ORDER BY conv_id, state_index) - 1 AS i, count(*) OVER () AS n FROM states) SELECT conv_id, state_index FROM numbered WHERE i IN (n // 10, n // 2, (n * 9) // 10)")
@@ -232,7 +236,7 @@ def positional_picks(spark, sf):
 _ANSWERS = ["4", " 4\n", "+4", "9", "0", "-3", "4/5", "", "five", "1", "2", "3", "5", "4 5"]
 
 
-@query("SELECT answer, coalesce(greatest(1, least(5, CASE WHEN regexp_matches(answer, '^\\s*[-+]?[0-9]+\\s*$') THEN try_cast(trim(answer, ' ' || chr(10)) AS INT) END)), 3)::INT AS rating FROM (VALUES " + ", ".join("('" + a.replace("\n", "' || chr(10) || '") + "')" for a in _ANSWERS) + ") AS t(answer)")
+@query("SELECT answer, CASE WHEN regexp_matches(answer, '^\\s*[-+]?[0-9]+\\s*$') THEN greatest(1, least(5, trim(answer, ' ' || chr(10))::INT)) ELSE 3 END::INT AS rating FROM (VALUES " + ", ".join("('" + a.replace("\n", "' || chr(10) || '") + "')" for a in _ANSWERS) + ") AS t(answer)")
 def judge_parse(spark, sf):
     return spark.createDataFrame([(a,) for a in _ANSWERS], "answer string").withColumn("rating", rating(F.col("answer")))
 
@@ -280,8 +284,8 @@ weights AS (SELECT *, round(raw / sum(raw) OVER (PARTITION BY trial), 4) AS weig
 
 def sims_sql(at: int, name: str = "rated") -> str:
     """A table of rated pairs: queries whose id leaves ``at``, against all rows of other labels."""
-    sims = ", ".join(f"round(list_inner_product(q.n{j}, c.n{j}), 6) + 0.0 AS sim_{p}" for j, p in enumerate(PARTS))
-    mean = " + ".join(f"sim_{p}" for p in PARTS)
+    sims = ", ".join(f"list_inner_product(q.n{j}, c.n{j}) AS sim_{p}" for j, p in enumerate(PARTS))
+    mean = " + ".join(f"round(sim_{p}, 6)" for p in PARTS)
     return f"""{name} AS (SELECT *, (1 + floor(4 * greatest(0, least(1, ({mean}) / 8 + 0.3))))::INT AS rating FROM (
   SELECT q.vec_id AS query_id, c.vec_id AS cand_id, {sims} FROM units q, units c WHERE q.vec_id % {EVERY} = {at} AND q.label <> c.label))"""
 
@@ -309,8 +313,7 @@ def trials(spark, n: int = N_TRIALS) -> DataFrame:
 
 def searched(spark, sf, at: int = 0, weights: DataFrame | None = None) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    sims = vectors.similarities(e.where(F.col("vec_id") % EVERY == at), e, PARTS)
-    return ratings.search(sims, trials(spark) if weights is None else weights, PARTS, judge(), DEFAULTS.top_k)
+    return ratings.search(e.where(F.col("vec_id") % EVERY == at), e, trials(spark) if weights is None else weights, PARTS, judge(), DEFAULTS.top_k)
 
 
 @query(f"WITH {TRIALS.format(n=N_TRIALS)} SELECT * FROM weights")
