@@ -293,14 +293,15 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
         fitted = shared.value
         scorer = Scorer(fitted) if fitted else None
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(at).to_pylist()
             rows = [verdict(fitted, s) for s in scorer.texts(texts)] if scorer else [verdict(None, None) for _ in texts]
             lang, score, nats, ok = zip(*rows, strict=True) if rows else ((), (), (), ())
             made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(nats, pa.float64()), pa.array(ok, pa.bool_())]
             yield pa.record_batch([*batch.columns[: len(keep)], *made], names)
 
     names = [*keep, "lang_pred", "score", "nats_per_char", "accepted"]
-    inner = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep, F.col("text").alias("__text"))
+    at = keep.index("text") if "text" in keep else len(keep)  # texts are sent once
+    inner = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     schema = inner.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("nats_per_char", "double").add("accepted", "boolean")
     return inner.mapInArrow(run, schema)
 
