@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,14 +92,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """Documents without near-copies: of each component the row with the smallest doc_id stays, in all its columns.
 
-    Rows with a null doc_id have no identity to decide by and stay. Of repeated rows with one doc_id and text one
+    ``groups`` gives doc_id and component_id of every row. Rows with a null doc_id have no identity to decide by and stay. Of repeated rows with one doc_id and text one
     stays. Further columns of any name stay as they are.
     """
     safe = shielded(docs, "doc_id", "text")
-    chosen = near_duplicates(safe).where("doc_id = component_id").select("doc_id").distinct()
+    chosen = groups(safe).where("doc_id = component_id").select("doc_id").distinct()
     kept = safe.where("doc_id is not null").join(chosen, "doc_id", "left_semi").withColumn("__text_hash", F.xxhash64("text"))
     kept = kept.dropDuplicates(["doc_id", "__text_hash"])
     return kept.select(safe.columns).unionByName(safe.where("doc_id is null")).toDF(*docs.columns)
