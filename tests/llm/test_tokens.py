@@ -44,6 +44,17 @@ def test_ids_of_odd_texts():
     assert got == encode(BYTE, texts)
 
 
+def test_ids_of_long_white_space():
+    from parlance.llm.bpe import encoder
+
+    n = 1_200_000
+    runs = [" " * n, "\n" * n, "\r\n" * (n // 2), "　\xa0" * 6000, "\x1c" * 12_000, " " * 9999, " " * 10_000, " " * 10_001]
+    texts = [a + run + b for run in runs for a, b in (("", ""), ("ab", ""), ("ab's", "cd"), ("", "'s"), ("<|endoftext|>", "\x1cx"), ("a", "<|endoftext|> b"), ("1", "\n2"))]
+    texts.append("a" + " " * n + "b" + "\n" * n + "c")
+    got = [np.frombuffer(encoder(vocabulary(BYTE)).ids(t), "<u4").tolist() for t in texts]
+    assert got == encode(BYTE, texts)
+
+
 def test_files(spark, table, tmp_path):
     path = f"file://{tmp_path}/ids"
     got = [tuple(r) for r in token_files.token_files(table, vocabulary(BYTE), path).collect()]
