@@ -208,15 +208,16 @@ def unique_runs(open_pages: DataFrame, least: int = MIN_TOKENS, host_tokens: int
     Hosts of up to ``host_tokens`` tokens get one suffix array each. On a larger host the same coverage is found from
     hashes of all passages of exactly ``least`` tokens, counted by key over the cluster: a token lies in a longer
     repeated passage if and only if it lies in a repeated passage of that length. No host is collected, none is cut.
+    On both paths pages of a host with one text, repeated rows or mirrors, count as one page and keep the same text.
     """
-    keyed = open_pages.select("page_id", "url", "host", "text", "n_tokens").withColumn("row", F.xxhash64("page_id", "url", "text"))
+    keyed = open_pages.select("page_id", "url", "host", "text", "n_tokens").withColumn("row", F.xxhash64("host", "text"))
     large = keyed.groupBy("host").agg(F.sum("n_tokens").alias("tokens")).where(F.col("tokens") > host_tokens).select("host")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        streams = [t.split(" ") if t else [] for t in rows.text]
-        rows = rows[["page_id", "url"]].copy()
-        rows["text"] = [" ".join(t for t, c in zip(s, flags, strict=False) if not c) for s, flags in zip(streams, covered(streams, least), strict=True)]
-        return rows
+        streams = {text: text.split(" ") if text else [] for text in rows.text}
+        flags = covered(list(streams.values()), least)
+        left = {text: " ".join(t for t, c in zip(s, f, strict=False) if not c) for (text, s), f in zip(streams.items(), flags, strict=True)}
+        return rows[["page_id", "url"]].assign(text=[left[text] for text in rows.text])
 
     out = keyed.join(large, "host", "left_anti").groupBy("host").applyInPandas(run, "page_id long, url string, text string")
     big = keyed.join(large, "host", "left_semi").withColumn("tokens", F.split("text", " "))
@@ -233,7 +234,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row.
 
     Null and empty html, and pages all of whose text is excluded, give an empty text. Null urls share the host ``""``.
-    Repeated rows stay; a page repeated as a whole counts once, so its copies do not erase each other on a hot host.
+    Repeated rows stay; pages of a host with the same text count once, so copies do not erase each other.
     An empty table gives an empty result.
     """
     read = materialise(parsed(pages), "page-text")

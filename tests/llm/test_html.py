@@ -113,3 +113,13 @@ def test_edges(spark):
     got = sorted(((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in html_text.main_text(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (0, "u", "", 0), (2, "http://a/", "z", 1), (2, "http://a/", "z", 1), (3, "bad url", "deep", 4), (4, "http://a/", "a" * 500_000, 500_000)], key=str)
     assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("host_tokens", [html_text.HOST_TOKENS, 0])
+def test_repeated_rows_and_mirrors_keep_their_text(spark, host_tokens):
+    common = "this line stands on each page of the host"
+    texts = [(1, "a b c d e f g h i j " + common), (1, "a b c d e f g h i j " + common), (2, "a b c d e f g h i j " + common), (3, "k l m " + common)]
+    rows = [(i, "http://h/", "h", t, len(t.split())) for i, t in texts]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, text string, n_tokens long")
+    got = sorted((r["page_id"], r["text"]) for r in html_text.unique_runs(pages, host_tokens=host_tokens).collect())
+    assert got == [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "k l m")]
