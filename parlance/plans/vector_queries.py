@@ -139,9 +139,17 @@ EMBEDDED = f"""{STATES}, long AS (
 )"""
 
 
+def state_id():
+    """The SQL's id where that is unique; from a conversation's state 100 on, where it meets the next one's, a negative id.
+
+    Conversation ids are not negative; an array has under 2^31 turns, so no two states share an id.
+    """
+    return F.expr("if(state_index < 100, conv_id * 100 + state_index, -(conv_id * 2147483648 + state_index))")
+
+
 def embedded(spark, sf) -> DataFrame:
     """(conv_id, vec_id, window, text, vec): each distinct text is embedded once."""
-    rows = state_rows(spark, sf).withColumn("vec_id", F.col("conv_id") * 100 + F.col("state_index"))
+    rows = state_rows(spark, sf).withColumn("vec_id", state_id())
     return providers.embed_distinct(states.windows_long(rows, tuple(_NAMES), ("conv_id", "vec_id")))
 
 
@@ -176,7 +184,7 @@ def index_round_trip(spark, sf):
     """The index written, read again and held against its metadata."""
     path = io.scratch(spark, "index")
     rows = embedded(spark, sf).withColumnRenamed("vec_id", "state_id")
-    meta = state_rows(spark, sf).withColumn("state_id", F.col("conv_id") * 100 + F.col("state_index"))
+    meta = state_rows(spark, sf).withColumn("state_id", state_id())
     io.write_index(rows.select("state_id", "window", "vec"), meta, path)
     stored, _, _ = io.read_index(spark, path, states.ORDER, 64)
     return stored.agg(F.count_distinct("state_id").alias("n_states"), F.count_distinct("window").alias("n_windows"), F.count("*").alias("n_vectors"))
