@@ -20,7 +20,7 @@ HEX = r"[0-9a-f]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Expected rows and most characters of a row in the sample that the models are trained on.
+#: Expected rows, of all and again of those with a pattern's match, and most characters of a row in the training sample.
 SAMPLE_ROWS, SAMPLE_CHARS, SEED = 5_000, 50_000, 29
 _SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 
@@ -57,16 +57,23 @@ def _score(value: str, table: str) -> str:
 
 
 def train(docs: DataFrame) -> tuple[list[float], float] | None:
-    """(log-likelihood ratio of each pair of characters, threshold); None if the sample has no secret or no identifier.
+    """(log-likelihood ratio of each pair of characters, threshold); None if the table has no secret or no identifier.
+
+    Rows in which a pattern matches are drawn apart from all rows, so secrets that are rare in a large table still count.
 
     Labels: the values that the patterns find are random strings; runs of 8 and more characters that no pattern span
     touches and that hold no digit are ordinary identifiers. Counts are collected per pair (a bounded table) with
     add-one smoothing. The threshold is halfway between the ordinary strings' 99.99 % quantile and the random
     strings' 5 % quantile, or the former where these cross.
     """
+    usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    bears = F.col("text").rlike(f"{ASSIGN[:-2]}{{6,}})|{ACCESS}|{HEX}")
+    draw, share = F.pmod(seeded_hash("doc_id", seed=SEED), F.lit(1 << 30)), lambda n: int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, n)))
     total = docs.count()
-    keep = F.pmod(seeded_hash("doc_id", seed=SEED), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, total)))
-    sample = docs.where(keep & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("text")
+    keep = draw < share(total)
+    if total > SAMPLE_ROWS:
+        keep |= (draw < share(usable.where(bears).count())) & bears
+    sample = usable.where(keep).select("text")
     found = _base(sample)
     random = found.select(F.lit(1).alias("label"), F.explode(F.expr("concat(transform(__assign, x -> x.v), transform(__access, x -> x.v), transform(__hex, x -> x.v))")).alias("v"))
     plain = F.expr(f"regexp_extract_all(concat_ws(' ', split(__text, {_quoted(ASSIGN + '|' + ACCESS + '|' + HEX)})), '[A-Za-z_-]{{8,}}', 0)")

@@ -70,3 +70,10 @@ def test_no_python_in_the_plan(documents):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+
+
+def test_rare_secrets_still_train_the_models(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE_ROWS", 20)
+    rows = [(i, "parse_configuration_file and render_template_response") for i in range(2000)]
+    rows += [(5000 + i, "password = kJ8dQz2LxW0pVn5TgRb7YcMf") for i in range(3)]
+    assert secrets.train(spark.createDataFrame(rows, "doc_id long, text string")) is not None
