@@ -3,10 +3,14 @@
 Pre-tokens are kept as ragged numpy arrays of symbols. In each round every sequence finds its lowest-ranked adjacent
 pair and all occurrences of that pair in it are merged at once, which is the order in which one-pair-at-a-time merging
 works; sequences without a ranked pair are done. The count of a pre-token is the number of symbols that survive.
+
+A very long pre-token would pass over all its symbols once for each of its merges. There the same rounds, one rank at a
+time, touch only the places of that rank: symbols are a linked list in arrays, and places wait in a queue by rank.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -18,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.bpe import bytes_of_unicode
+from parlance.llm.bpe import SPACE, all_assigned, bytes_of_unicode
 
-_PLAIN = re.compile(r"[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9]+")
+#: The pattern on lower-cased ASCII without an apostrophe, where white space is as the library has it.
+_PLAIN = re.compile(r"[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+#: Pre-tokens of more bytes are merged by themselves.
+LONG = 256
 
 
 class RankMerger:
@@ -28,7 +35,11 @@ class RankMerger:
 
     def __init__(self, path: str, cap: int = 400_000):
         import regex
+        from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
@@ -44,7 +55,9 @@ class RankMerger:
         pairs = np.array(left, np.int64) * self.size + np.array(right, np.int64)
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.rank, self.new = pairs[order], order, np.array(new, np.int64)
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}")).findall
         special = [t["content"] for t in spec["added_tokens"]]
         self.special, self.marks = re.compile("|".join(map(re.escape, special))), tuple(special)
         self.cap, self.known = cap, {}
@@ -58,6 +71,56 @@ class RankMerger:
     def merged(self, words: list[str]) -> np.ndarray:
         """Symbols that survive in each word."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out = np.zeros(len(raw), np.int64)
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
+        out[short] = self._batch([raw[i] for i in short])
+        for i, r in enumerate(raw):
+            if len(r) > LONG:
+                out[i] = self._single(r)
+        return out
+
+    def _single(self, raw: bytes) -> int:
+        """Symbols that survive in one long word; a round takes the places of the lowest rank that is left."""
+        data, n, none = np.frombuffer(raw, np.uint8), len(raw), len(self.pairs)
+        symbol = self.inner[data]
+        symbol[-1] = self.final[data[-1]]
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        queue: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            of = self._ranks(symbol[places], symbol[after[places]])
+            places, of = places[of < none], of[of < none]
+            order = np.argsort(of, kind="stable")
+            places, of = places[order], of[order]
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            for rank, part in zip(of[starts].tolist(), np.split(places, starts[1:]), strict=False):
+                if rank not in queue:
+                    queue[rank] = []
+                    heapq.heappush(ranks, rank)
+                queue[rank].append(part)
+
+        wait(np.arange(n - 1))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(queue.pop(rank)))
+            at = at[alive[at] & (after[at] < n)]
+            at = at[(symbol[at] == self.left[rank]) & (symbol[after[at]] == self.right[rank])]
+            if not len(at):
+                continue
+            run = np.append(True, after[at[:-1]] != at[1:])  # of overlapping places (aaa) every second one, from the left
+            nth = np.arange(len(at))
+            at = at[(nth - np.maximum.accumulate(np.where(run, nth, 0))) % 2 == 0]
+            gone = after[at]
+            symbol[at], alive[gone] = self.new[rank], False
+            after[at] = beyond = after[gone]
+            before[beyond[beyond < n]] = at[beyond < n]
+            wait(np.unique(np.concatenate([at[beyond < n], before[at][before[at] >= 0]])))
+        return int(alive.sum())
+
+    def _batch(self, raw: list[bytes]) -> np.ndarray:
+        """Symbols that survive in each of many short words, all merged in the same rounds."""
+        words = raw
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum(lengths) - 1
@@ -100,8 +163,10 @@ class RankMerger:
         size = 0
         for i, text in enumerate(texts, 1):
             text = text or ""
-            marks = 0
-            if any(mark in text for mark in self.marks):
+            marks, words = 0, []
+            if not all_assigned(text):  # libraries differ in the classes of code points that they don't know
+                marks = len(self.library.encode(text, add_special_tokens=False).ids)
+            elif any(mark in text for mark in self.marks):
                 marks = len(self.special.findall(text))
                 words = [w for part in self.special.split(text) for w in self.pre_tokens(part)]
             else:
