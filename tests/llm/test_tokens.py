@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import pyarrow.orc
 import pytest
 from parlance.llm import packing, token_counts, token_files
 from parlance.llm.queries import vocabulary
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -119,3 +121,62 @@ def test_empty_tables(empty):
     assert token_counts.token_counts(empty, vocabulary(WORD)).count() == 0
     assert token_files.token_files(empty, vocabulary(BYTE)).count() == 0
     assert packing.pack_documents(empty, vocabulary(BYTE)).count() == 0
+
+
+def odd_texts():
+    r = random.Random(7)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    r.shuffle(points)
+    marks = [" ", "\n", "\t", "a", "Z", "'", "'s", "'LL", "1", "²", "é", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "​", "　", "!", "…", "漢", "́", "Σ", "İ", "ß", "<|endoftext|>"]
+    texts = ["".join(r.choice([*marks, r.choice(points)]) for _ in range(r.randint(1, 30))) for _ in range(8_000)]
+    # every code point of all planes, next to a letter, a digit and white space
+    return texts + [" ".join(points[i : i + 20]) + "a".join(points[i + 20 : i + 40]) + "'s 1 " + "  ".join(points[i : i + 40]) for i in range(0, len(points), 40)]
+
+
+def test_fuzzed_texts_of_all_planes():
+    from parlance.llm.bpe import encoder
+
+    texts = odd_texts()
+    assert [np.frombuffer(encoder(vocabulary(BYTE)).ids(t), "<u4").tolist() for t in texts] == encode(BYTE, texts)
+    assert token_counts.merger(vocabulary(WORD)).counts(texts) == [len(i) for i in encode(WORD, texts)]
+
+
+def test_long_words():
+    from parlance.llm.bpe import encoder
+
+    r = random.Random(3)
+    texts = ["a" * 1_000_000, "ab" * 30_000, "!" * 300_000, "漢é" * 50_000, "".join(r.choice("etaoinshr") for _ in range(60_000)), "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEF") for _ in range(300_000))]
+    texts += [c * n for c in ("a", "e", "lo", "=") for n in range(250, 262)] + [" ".join(r.choice("etaoinshr") * r.randint(1, 900) for _ in range(300))]
+    assert token_counts.merger(vocabulary(WORD)).counts(texts) == [len(i) for i in encode(WORD, texts)]
+    assert [np.frombuffer(encoder(vocabulary(BYTE)).ids(t), "<u4").tolist() for t in texts] == encode(BYTE, texts)
+
+
+def test_orc_has_what_it_promises(spark, tmp_path):
+    """Opened with the format's own reader: run-length version 2, row indexes, Bloom filters; and rows that pruning saves."""
+    docs = spark.range(12_000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    path = f"file://{tmp_path}/ids"
+    token_files.write(docs, vocabulary(BYTE), path, partitions=1)
+    jvm = spark.sparkContext._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    file = next(str(p) for p in (tmp_path / "ids").iterdir() if p.suffix == ".orc")
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{file}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getNumberOfRows() == 12_000 and reader.getRowIndexStride() == 2000 and reader.getCompressionKind().toString() == "ZSTD"
+    rows, stripe = reader.rows(), reader.getStripes().get(0)
+    kinds = [str(c.getKind()) for c in rows.readStripeFooter(stripe).getColumnsList()]
+    assert kinds[1] == "DIRECT_V2" and kinds[3] in ("DIRECT_V2", "DICTIONARY_V2")  # doc_id, and the ids in their lists
+    every = spark.sparkContext._gateway.new_array(jvm.boolean, 4)
+    for i in range(4):
+        every[i] = True
+    index = rows.readRowIndex(0, None, every)
+    assert index.getRowGroupIndex()[1].getEntryCount() == -(-min(12_000, stripe.getNumberOfRows()) // 2000)
+    assert index.getBloomFilterIndex()[1] is not None and index.getBloomFilterIndex()[1].getBloomFilterCount() > 0
+    rows.close()
+
+    def rows_read(wanted: int) -> int:
+        found = token_files.read(spark, path).where(f"doc_id = {wanted}")
+        plan = found._jdf.queryExecution().executedPlan()
+        found._jdf.queryExecution().toRdd().count()
+        return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert 1 <= rows_read(4444) <= 4000  # one row group, perhaps a second by a false positive
+    assert rows_read(4445) <= 4000  # within the range of ids but absent: the Bloom filter drops its row group
