@@ -19,10 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (local tests) a temporary folder is chosen.
+    A local session that names none, as in tests, gets a temporary folder. On a cluster that raises.
     """
     chosen = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not chosen:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         chosen = tempfile.mkdtemp(prefix="parlance-shared-")
         spark.conf.set("spark.checkpoint.dir", chosen)
     return chosen.rstrip("/")
@@ -50,3 +52,23 @@ def text_or_empty(column: str = "text"):
 def seeded_hash(*columns, seed: int):
     """64-bit hash of columns and a seed, equal in every run."""
     return F.xxhash64(F.lit(seed), *columns)
+
+
+#: Most keys whose rows ``spread_join`` joins by broadcast.
+HOT_KEYS = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has one row of a key, so that a hot key of ``left`` lands in no one task.
+
+    A key is hot if it holds over 1 / ``HOT_KEYS`` of the rows of ``left``, so there are at most ``HOT_KEYS`` of them: their
+    rows of ``right`` are broadcast, all others are joined by key. ``counts`` (key, n) tells how many rows a key has, if
+    that is known. Both sides should be written tables, as each is read twice. Null keys join nothing.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    limit = max(1, counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
+    hot = counts.where((F.col("n") > max(1, limit)) & F.col(key).isNotNull()).select(key)
+    hot_right = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    many = left.join(F.broadcast(hot), key, "left_semi").join(hot_right, key, how)
+    few = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    return few.unionByName(many)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm._common import materialise
+from parlance.llm._common import materialise, spread_join
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node that each node with a link can reach.
 
     ``edges`` has long columns ``a`` and ``b``. Self links and repeated links don't matter; no rows give no rows. Each
-    step is two hash aggregations and a join over the links, written to the shared folder; hub nodes are joined by key,
-    where Spark may split a skewed partition.
+    step is two hash aggregations and a join over the links, written to the shared folder. Hubs, which stars make, are
+    joined by broadcast: ``spread_join`` bounds how many there are.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = materialise(links, "links")
@@ -24,9 +24,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             break
         seen = state
         both = links.union(links.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        least = materialise(least, "least")
+        large = spread_join(both.where("b > a"), least.select("a", "m"), "a", least.select("a", "n"))
+        large = materialise(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-stars")
+        # a node's larger neighbours now hang on its least one, so links lead down only and no node has many upwards
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = materialise(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import golay
-from parlance.llm._common import materialise, shielded
+from parlance.llm._common import materialise, shielded, spread_join
 from parlance.llm.components import connected_components
 
 SHINGLE_WORDS, MAX_BITS = 3, 2
+#: Buckets of up to so many fingerprints are verified pair by pair.
+BLOCK = 64
 _CHUNK = 1 << 16
 
 
@@ -52,9 +54,11 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
 def links(reps: DataFrame) -> DataFrame:
     """(a, b): links that join all distinct fingerprints ``fp`` at most two bits apart, directly or by a chain of links.
 
-    Buckets of two are verified as they are. Fingerprints in larger buckets, whose pairs could be many, get their 65
-    neighbours within one bit: two fingerprints are at most two bits apart if and only if they have a neighbour in
-    common, and no neighbour belongs to more than 65 fingerprints, so links stay in proportion to fingerprints.
+    Fingerprints that share a Golay key meet in its bucket, and those of a bucket of up to ``BLOCK`` are verified there.
+    Only in larger buckets, whose pairs could be many, fingerprints get their 65 neighbours within one bit: two
+    fingerprints are at most two bits apart if and only if they have a neighbour in common, and no neighbour belongs to
+    more than 65 fingerprints, so links stay in proportion to fingerprints. A key has about 34 bits, so buckets that
+    large come from groups of near copies, not from a corpus' size, up to some 10^11 different fingerprints.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,12 +71,17 @@ def links(reps: DataFrame) -> DataFrame:
     keyed = materialise(keyed, "golay-keys")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     buckets = materialise(buckets, "golay-buckets")
-    pairs = buckets.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
-    crowded = keyed.join(buckets.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct()
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
+    pairs = buckets.where((F.col("n") == 2) & close(F.col("a"), F.col("b"))).select("a", "b")
+    shared = materialise(spread_join(keyed, buckets.where("n > 2").select("key", "n"), "key", buckets.select("key", "n")), "golay-shared")
+    blocks = shared.where(F.col("n") <= BLOCK).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    later = f"transform(fps, (x, i) -> transform(filter(slice(fps, i + 2, {BLOCK}), y -> bit_count(x ^ y) <= {MAX_BITS}), y -> named_struct('a', x, 'b', y)))"
+    verified = blocks.select(F.explode(F.expr(f"flatten({later})")).alias("p")).select("p.a", "p.b").distinct()
+    crowded = shared.where(F.col("n") > BLOCK).select("fp").distinct()
     near = crowded.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("near"))
     stars = near.groupBy("near").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
     stars = stars.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
-    return pairs.union(stars)
+    return pairs.union(verified).union(stars)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -83,13 +92,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     a component of only such rows has a null id. Repeated rows stay repeated. An empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs, shingle_words), "fingerprints")
-    reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "representatives")
+    reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "representatives")
     parts = materialise(connected_components(links(reps)), "components")
-    linked = reps.join(parts, reps.fp == parts.node).select("fp", "first_id", "component")
-    least = linked.groupBy("component").agg(F.min("first_id").alias("linked_id"))
-    linked = linked.join(least, "component").select("fp", "linked_id")
-    ids = reps.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = materialise(least_ids(reps.select(F.col("fp").alias("node"), "first_id"), parts), "component-ids").withColumnRenamed("node", "fp")
+    rows = spread_join(prints, ids, "fp", reps.select("fp", "n"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def least_ids(reps: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, component_id) of every row of ``reps`` (node, first_id): the smallest first_id of the node's component.
+
+    Nodes that ``parts`` (node, component) lacks are components of their own.
+    """
+    linked = materialise(reps.join(parts, "node"), "linked")
+    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    least = materialise(least, "least-ids")
+    linked = spread_join(linked, least.select("component", "component_id"), "component", least.select("component", "n")).select("node", "component_id")
+    alone = reps.join(parts, "node", "left_anti").select("node", F.col("first_id").alias("component_id"))
+    return linked.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
