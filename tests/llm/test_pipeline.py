@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 from parlance.llm import mixing, secrets
 from parlance.llm.queries import vocabulary
-from test_simhash import brute
+from test_similar import groups
 from tokenizers import Tokenizer
 
 
@@ -41,7 +41,7 @@ def verify(seen, clean_share):
     assert {r["doc_id"] for r in told} <= set(text) and all(r["text"] == text[r["doc_id"]] and any(c.isalpha() for c in r["text"]) for r in told)
     assert len(told) >= clean_share * len(docs)
 
-    component = {i: c for i, _, c in brute([(r["doc_id"], r["text"]) for r in told])}
+    component = groups([(r["doc_id"], r["text"]) for r in told])  # five-word shingles, similarity 0.8
     assert sorted(r["doc_id"] for r in unique) == sorted(set(component.values()))
 
     spans = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x] for r in secrets.secret_scan(seen[2]).collect()}
