@@ -42,11 +42,12 @@ class Config:
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
-    """Command line of a training-data run."""
+    """Command line of a training-data run; what trains a model is taken and left to the trainer."""
     p = argparse.ArgumentParser(description="Build packed training examples from transcripts")
     p.add_argument("--model-dir", default="")
     p.add_argument("--quantization", choices=("lora", "qlora"), default="lora")
     p.add_argument("--data-file", required=True)
     p.add_argument("--output-dir", required=True)
     p.add_argument("--epochs", type=int, default=3)
+    p.add_argument("--max-seq-len", type=int, default=Config.max_seq_len)
     return p.parse_args(argv)

@@ -28,10 +28,13 @@ def context(key: Column, rate: float = 0.15, templates: tuple[str, ...] = CONTEX
 
 
 def prompt(system: str, context_text: Column, history_text: Column, blank_line_on_empty: bool = True) -> Column:
-    """The prefix up to the agent's marker. The flag tells whether an empty history leaves a blank line."""
+    """The prefix: system, context and conversation blocks, each closed, then the agent's marker.
+
+    The flag tells whether an empty history leaves a blank line.
+    """
     m = marker
     between = F.concat(history_text, F.lit("\n")) if blank_line_on_empty else F.when(history_text == "", "").otherwise(F.concat(history_text, F.lit("\n")))
-    return F.concat(F.lit(f"{m('system')}{system}{m('/system')}\n{m('context')}"), context_text, F.lit(f"{m('/context')}\n{m('conversation')}\n"), between, F.lit(m("agent")))
+    return F.concat(F.lit(f"{m('system')}{system}{m('/system')}\n{m('context')}"), context_text, F.lit(f"{m('/context')}\n{m('conversation')}\n"), between, F.lit(f"{m('/conversation')}\n{m('agent')}"))
 
 
 def examples(df: DataFrame, k: int = 20, min_tokens: int = 15, context_rate: float = 0.15, system: str = SYSTEM_PROMPT, id_column: str = "conversation_id") -> DataFrame:
@@ -53,16 +56,20 @@ def populated(prefix: str = "prefix") -> Column:
 def pack(df: DataFrame, max_len: int = 4096, mask: int = -100, eos: int = 0, pad: int | None = None) -> DataFrame:
     """Adds input_ids, labels, attention_mask of exactly ``max_len``, trunc_kind (none, conv, head, over) and n_real.
 
-    The conversation loses its oldest tokens first, then the head. With no budget left the conversation is empty.
+    The conversation loses its oldest tokens first, then the head. With no budget left the conversation is empty. A prefix
+    that lacks one of the conversation's markers is all head: it loses its oldest tokens.
     Where the target alone is too long the row is marked ``over`` and its arrays are cut to the limit.
     """
     pad = eos if pad is None else pad
     ids = df.withColumns({"p": token_ids(tokens(F.col("prefix")), MARKERS), "t": F.concat(token_ids(tokens(F.col("target")), MARKERS), F.array(F.lit(eos)))})
     start, end = MARKERS.index("conversation") + 1, MARKERS.index("/conversation") + 1
     ids = ids.withColumns({"s": F.array_position("p", start), "e": F.array_position("p", end)})
-    # The prefix is open: the agent's marker after the conversation is its tail when no end marker is there.
-    ids = ids.withColumn("e", F.when(F.col("e") > 0, F.col("e")).otherwise(F.when(F.col("s") > 0, F.size("p")).otherwise(0)))
-    parts = {"head": "if(s > 0, slice(p, 1, int(s)), p)", "conv": "if(s > 0, slice(p, int(s) + 1, int(greatest(e - s - 1, 0))), array())", "tail": "if(s > 0, slice(p, int(e), int(size(p) - e + 1)), array())"}
+    both = "s > 0 and e > 0"
+    parts = {
+        "head": f"if({both}, slice(p, 1, int(s)), p)",
+        "conv": f"if({both}, slice(p, int(s) + 1, int(greatest(e - s - 1, 0))), array())",
+        "tail": f"if({both}, slice(p, int(e), int(size(p) - e + 1)), array())",
+    }
     ids = ids.withColumns({k: F.expr(v) for k, v in parts.items()})
     return _fit(ids, max_len, mask, pad).drop("p", "s", "e", "head", "conv", "tail", "t")
 

@@ -70,6 +70,11 @@ def reply_to(prompt: Column) -> Column:
     return F.concat(F.lit(" Noted: "), F.right(prompt, F.lit(40)), F.lit("<|customer|>and on"))
 
 
+def base_reply_to(prompt: Column) -> Column:
+    """A stand-in for the generator before tuning: a shorter echo."""
+    return F.concat(F.lit(" Base: "), F.right(prompt, F.lit(36)), F.lit("<|customer|>and on"))
+
+
 def synthetic_transcripts(spark, n: int = 10, seed: int = 42) -> DataFrame:
     """(conversation_id, label, transcript): an even number of lines from 10 to 30, agents first; by hash."""
     rows = spark.range(n).select(F.format_string("fake_%03d", "id").alias("conversation_id"), F.lit(1).alias("label"), (hash32(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))) % 11 + 5).alias("half"))

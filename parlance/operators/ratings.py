@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,12 @@ def trial_weights(trials: DataFrame, names: list[str], seed: int = 42, low: floa
     return rows.withColumn("weight", F.round(F.col("raw") / F.sum("raw").over(Window.partitionBy("trial")), 4))
 
 
-def search(queries: DataFrame, candidates: DataFrame, weights: DataFrame, names: list[str], judge: Column, k: int = 5, **options) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, weights: DataFrame, names: list[str], judge: Column, k: int = 5, cache: str | None = None, **options) -> DataFrame:
     """(trial, query_id, rank, cand_id, score, rating) of every trial.
 
+    With a ``cache`` (a path of appended ratings) the judge sees only the pairs that it lacks, and their ratings are
+    appended; the next search finds them there.
+
     All trials' retrievals are one job, in which each partition keeps its best k of a trial and query; the judge sees
     every distinct pair once. ``weights`` (trial, window, weight) is a bounded table of stated trials; ``judge`` reads
     the columns sim_<window> of a pair.
@@ -44,11 +48,51 @@ def search(queries: DataFrame, candidates: DataFrame, weights: DataFrame, names:
     for r in weights.select("trial", "window", "weight").collect():
         trials.setdefault(r["trial"], {})[r["window"]] = r["weight"]
     best = topk_trials(queries, candidates, trials, names, k, **options)
-    pairs = breakdown(best.select("query_id", "cand_id").distinct(), queries, candidates, names)
-    rated = pairs.select("query_id", "cand_id", judge.alias("rating"))
+    wanted = best.select("query_id", "cand_id").distinct()
+    if cache:
+        wanted = wanted.join(cached(best.sparkSession, cache), ["query_id", "cand_id"], "left_anti")
+    rated = breakdown(wanted, queries, candidates, names).select("query_id", "cand_id", judge.alias("rating"))
+    if cache:
+        keys = [pair_key(F.col("query_id"), F.col("cand_id")).alias("key"), "rating", F.col("query_id").alias("query_idx"), F.col("cand_id").alias("candidate_idx")]
+        rated.select(*keys, F.lit(0).cast("long").alias("seq")).write.mode("append").option("ignoreNullFields", "false").json(cache)
+        rated = cached(best.sparkSession, cache)
     return best.join(rated, ["query_id", "cand_id"]).select(F.col("trial").cast("int").alias("trial"), "query_id", "rank", "cand_id", "score", "rating")
 
 
+RATINGS = "key string, rating int, query_idx long, candidate_idx long, seq long"
+
+
+def pair_key(query: Column, candidate: Column) -> Column:
+    """Key of a rated pair."""
+    return F.concat_ws("_", query.cast("string"), candidate.cast("string"))
+
+
+def state_key(conversation: Column, index: Column) -> Column:
+    """Key of a state's summary."""
+    return F.concat_ws("|", conversation.cast("string"), index.cast("string"))
+
+
+def cached(spark, path: str) -> DataFrame:
+    """(query_id, cand_id, rating) of a rating cache, the last write of each pair; empty before the first write."""
+    try:
+        rows = spark.read.schema(RATINGS).json(path)
+        rows.schema  # noqa: B018
+    except AnalysisException:
+        rows = spark.createDataFrame([], RATINGS)
+    return rows.groupBy("query_idx", "candidate_idx").agg(F.max_by("rating", "seq").alias("rating")).toDF("query_id", "cand_id", "rating")
+
+
+def failures(results: DataFrame, metadata: DataFrame, shown: int | None = None, limit: int = 2) -> DataFrame:
+    """Pairs rated ``limit`` or less with both states' conversation, index, turns, recent turns and secondary context.
+
+    ``metadata`` has state_id and what ``states.judge_context`` adds; the first ``shown`` by query and rank.
+    """
+    rows = results.where(F.col("rating") <= limit).select("query_id", "rank", "cand_id", "rating")
+    rows = rows.orderBy("query_id", "rank").limit(shown) if shown else rows
+    of = lambda side: metadata.select(F.col("state_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("conv_id", "state_index", "n_turns_available")], F.substring("w1_text", 1, 120).alias(f"{side}_w1"), F.col("secondary_context").alias(f"{side}_context"))
+    return rows.join(of("query"), "query_id").join(of("cand"), "cand_id")
+
+
 def trial_values(results: DataFrame) -> DataFrame:
     """(trial, value, n_ratings)."""
     return results.groupBy("trial").agg(F.round(F.avg("rating"), 6).alias("value"), F.count("*").alias("n_ratings"))

@@ -36,5 +36,16 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     return row.select("n", "mean", "std", "least", F.round(F.col("p")[0], 6).alias("p25"), F.round(F.col("p")[1], 6).alias("p50"), F.round(F.col("p")[2], 6).alias("p75"), "most")
 
 
+def tercile_intervals(df: DataFrame, column: str, parts: int = 3) -> DataFrame:
+    """(interval, n): rows between quantiles, as `(low, high]`; edges that are equal make one; the first holds the least."""
+    edges = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / parts) for i in range(parts + 1)]))).alias("e"))
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v is not null").crossJoin(F.broadcast(edges))  # one row
+    at = F.expr("greatest(1, size(filter(e, x -> x < v)))")
+    shown = lambda i: F.round(F.expr(f"e[{i}]"), 3).cast("decimal(18,3)").cast("string")
+    rows = rows.withColumn("i", F.least(F.expr("greatest(size(e) - 1, 1)"), at))
+    low = F.when(F.col("i") == 1, (F.expr("e[0]") - 0.001).cast("decimal(18,3)").cast("string")).otherwise(shown("i - 1"))
+    return rows.withColumn("interval", F.concat(F.lit("("), low, F.lit(", "), F.coalesce(shown("i"), shown("0")), F.lit("]"))).groupBy("interval").agg(F.count("*").alias("n"))
+
+
 def bars(weights: DataFrame, width: int = 50) -> DataFrame:
     return weights.withColumn("bar", F.repeat(F.lit("#"), F.floor(F.col("weight") * width).cast("int")))

@@ -43,6 +43,5 @@ def sample(states: DataFrame, n: int, seed: int, key: Column, by: str = "stratum
 
 
 def holdout(states: DataFrame, chosen: DataFrame, n: int, seed: int, key: Column) -> DataFrame:
-    """``n`` states by hash order less those already chosen; may leave fewer."""
-    first = states.withColumn("draw", draw(key, seed)).orderBy("draw", "conv_id", "state_index").limit(n)
-    return first.join(chosen.select("conv_id", "state_index"), ["conv_id", "state_index"], "left_anti")
+    """A stratified sample of ``n`` states under its own seed, less those already chosen; may leave fewer."""
+    return sample(states, n, seed, key).join(chosen.select("conv_id", "state_index"), ["conv_id", "state_index"], "left_anti")

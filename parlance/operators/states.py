@@ -5,12 +5,12 @@ Windows are slices of the conversation's line array, made once per conversation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.config import WINDOWS, marker
 
-ORDER = ("w_0", *WINDOWS, "w_full")
+ORDER = ("w_0", *WINDOWS, "w_full", "w_summary")
 
 
 def states(df: DataFrame, min_turns: int = 2, keep: tuple[str, ...] = ("conv_id",)) -> DataFrame:
@@ -40,11 +40,17 @@ def summary_prompt(df: DataFrame) -> DataFrame:
 def judge_context(df: DataFrame) -> DataFrame:
     """Adds the text a judge sees of a state: the last turns, then a summary or else the whole conversation."""
     summary = F.col("w_summary_text") if "w_summary_text" in df.columns else F.lit(None).cast("string")
-    second = F.coalesce(F.concat(F.lit("Summary:\n"), summary), F.concat(F.lit("Conversation:\n"), F.col("w_full_text")))
-    brief = F.coalesce(F.concat(F.lit("Summary: "), F.substring(summary, 1, 120)), F.concat(F.lit("Conversation: "), F.substring("w_full_text", 1, 120)), F.lit(""))
+    second = F.coalesce(F.concat(F.lit("Summary:\n"), summary), F.concat(F.lit("Full context:\n"), F.col("w_full_text")))
+    brief = F.coalesce(F.concat(F.lit("summary: "), F.substring(summary, 1, 120)), F.concat(F.lit("full:    "), F.substring("w_full_text", 1, 120)), F.lit(""))
     return df.withColumns({"judge_context": F.concat_ws("\n\n", F.concat(F.lit("Recent turns:\n"), F.col("w3_text")), second), "secondary_context": brief})
 
 
+def pair_prompt(a: str, b: str) -> Column:
+    """A judge's prompt about the states whose contexts are in columns ``a`` and ``b``; it asks for one number."""
+    ask = "Would the same reply of the agent serve both of these states? Answer with one number from 1 (not at all) to 5 (fully)."
+    return F.concat(F.lit(ask + "\n\nFirst state:\n"), F.col(a), F.lit("\n\nSecond state:\n"), F.col(b))
+
+
 def windows_long(df: DataFrame, names: tuple[str, ...] = ORDER, keep: tuple[str, ...] = ("conv_id", "state_index")) -> DataFrame:
     """(keep, window, text), one row per window."""
     pairs = ", ".join(f"'{w}', {w}_text" for w in names)

@@ -24,16 +24,18 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 
 def from_messages(conversations: DataFrame) -> DataFrame:
-    """Turn rows (conv_id, pos, speaker, text) of a role-based message table: user is the customer, system is dropped.
+    """Turn rows (conv_id, pos, speaker, text) of a role-based message table: user is the customer, assistant the agent.
 
-    Line feeds become spaces, as a transcript has one turn a line.
+    System messages are dropped; any other role, null too, raises when it is read. Line feeds become spaces, as a
+    transcript has one turn a line.
     """
     from pyspark.sql import Window
 
-    rows = conversations.where("role <> 'system'")
+    rows = conversations.where("role is distinct from 'system'")
     pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    speaker = F.when(F.col("role") == "user", "customer").otherwise("agent")
-    return rows.select("conv_id", pos.alias("pos"), speaker.alias("speaker"), strip(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text"))
+    speaker = F.when(F.col("role") == "user", "customer").when(F.col("role").isin("assistant", "agent"), "agent").otherwise(F.col("role"))
+    rows = check_speakers(rows.withColumn("speaker", speaker))
+    return rows.select("conv_id", pos.alias("pos"), "speaker", strip(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text"))
 
 
 def collect_turns(rows: DataFrame) -> DataFrame:
@@ -60,9 +62,9 @@ def alternates(turns: str = "turns") -> Column:
     return F.expr(f"forall(transform({turns}, (t, i) -> t.speaker = if(i % 2 = 0, 'agent', 'customer')), x -> x)")
 
 
-def validate(df: DataFrame, min_turns: int = 4, column: str = "transcript") -> DataFrame:
-    """Adds n_turns, alternates, status (OK or WARN) and the first line's preview."""
-    line = F.element_at(F.split(strip(F.coalesce(F.col(column), F.lit(""))), "\n", 2), 1)
+def validate(df: DataFrame, min_turns: int = 4) -> DataFrame:
+    """Adds n_turns, alternates, status (OK or WARN) and a preview of the first turn's text."""
+    line = F.expr("get(turns, 0).text")
     short = F.when(F.length(line) > 60, F.concat(F.substring(line, 1, 60), F.lit("..."))).otherwise(line)
     df = df.withColumns({"n_turns": F.size("turns"), "alternates": alternates()})
     return df.withColumns({"status": F.when(F.col("alternates") & (F.col("n_turns") >= min_turns), "OK").otherwise("WARN"), "preview": F.when(F.col("n_turns") == 0, "N/A").otherwise(short)})

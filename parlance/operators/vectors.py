@@ -81,11 +81,14 @@ def topk(queries: DataFrame, candidates: DataFrame, weights: dict[str, float], n
 
 
 def topk_trials(queries: DataFrame, candidates: DataFrame, trials: dict[int, dict[str, float]], names: list[str], k: int = 5, id_column: str = "vec_id", group: str = "label", vector: str = "embedding", same_group: str = "drop") -> DataFrame:
-    """(trial, query_id, rank, cand_id, score): ``topk`` under each trial's weights, as they are, in one pass per block.
+    """(trial, query_id, rank, cand_id, score): ``topk`` under each trial's weights, normalised, in one pass per block.
 
     ``trials`` is a bounded table; a query under a trial's weights is one row of a block.
     """
-    scales = {t: np.array([w.get(n, 0.0) for n in names]) for t, w in sorted(trials.items())}
+    scales = {}
+    for t, w in sorted(trials.items()):
+        kept = normalise_weights({n: w[n] for n in names if n in w}, names)
+        scales[t] = np.array([kept.get(n, 0.0) for n in names])
     return _best(queries, candidates, scales, k, id_column, group, vector, same_group)
 
 

@@ -49,7 +49,7 @@ HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 ROWS = f"""rows AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
     CASE WHEN role = 'user' THEN 'customer' ELSE 'agent' END AS speaker, {STRIP.format("replace(text, chr(10), ' ')")} AS text
-  FROM conversations WHERE role <> 'system'
+  FROM conversations WHERE role IS DISTINCT FROM 'system'
 ), lined AS (
   SELECT *, CASE WHEN speaker = 'agent' THEN '{AGENT}' ELSE '{CUSTOMER}' END || text AS line FROM rows
 )"""
@@ -89,7 +89,7 @@ def examples_sql(k: int = 20, min_tokens: int = 15) -> str:
 ), prefixed AS (
   SELECT conv_id, (pos + 1)::INT AS target_turn_index, len(history)::INT AS n_history, text AS target,
     {quoted(f"{m('system')}{SYSTEM_PROMPT}{m('/system')}")} || chr(10) || '{m("context")}' || {context_sql("conv_id || '|' || (pos + 1)")} || '{m("/context")}' || chr(10)
-    || '{m("conversation")}' || chr(10) || array_to_string(history, chr(10)) || chr(10) || '{m("agent")}' AS prefix
+    || '{m("conversation")}' || chr(10) || array_to_string(history, chr(10)) || chr(10) || '{m("/conversation")}' || chr(10) || '{m("agent")}' AS prefix
   FROM targets
 ), examples AS (
   SELECT *, prefix || target AS full_text, len({tokens_sql("prefix")})::INT AS prefix_len, len({tokens_sql("target")})::INT AS target_len FROM prefixed

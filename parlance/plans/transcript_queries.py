@@ -54,8 +54,8 @@ def repair_transcripts(spark, sf):
 
 
 @query(f"""WITH {_PARSED} SELECT f.conv_id, n_turns, alternates, CASE WHEN alternates AND n_turns >= 4 THEN 'OK' ELSE 'WARN' END AS status,
-  CASE WHEN length(split_part(transcript, chr(10), 1)) > 60 THEN left(split_part(transcript, chr(10), 1), 60) || '...' ELSE split_part(transcript, chr(10), 1) END AS preview
-  FROM fixed f JOIN rendered USING (conv_id)""")
+  CASE WHEN length(p.text) > 60 THEN left(p.text, 60) || '...' ELSE p.text END AS preview
+  FROM fixed f JOIN parsed p ON p.conv_id = f.conv_id AND p.pos = 0""")
 def validate_transcripts(spark, sf):
     return transcripts.validate(parsed(spark, sf)).select("conv_id", "n_turns", "alternates", "status", "preview")
 
@@ -147,9 +147,9 @@ def _packed_sql(limit: int) -> str:
     return f"""{examples_sql()}, ids AS (
   SELECT conv_id, target_turn_index, {_ids("prefix")} AS p, list_append({_ids("target")}, 0) AS t FROM examples
 ), marks AS (
-  SELECT *, coalesce(list_position(p, 5), 0) AS s, coalesce(nullif(list_position(p, 6), 0), CASE WHEN list_position(p, 5) > 0 THEN len(p) ELSE 0 END) AS e FROM ids
+  SELECT *, coalesce(list_position(p, 5), 0) AS s, coalesce(list_position(p, 6), 0) AS e FROM ids
 ), parts AS (
-  SELECT *, CASE WHEN s > 0 THEN p[1:s] ELSE p END AS head, CASE WHEN s > 0 THEN p[s + 1:e - 1] ELSE [] END AS conv, CASE WHEN s > 0 THEN p[e:] ELSE [] END AS tail FROM marks
+  SELECT *, CASE WHEN s > 0 AND e > 0 THEN p[1:s] ELSE p END AS head, CASE WHEN s > 0 AND e > 0 THEN p[s + 1:e - 1] ELSE [] END AS conv, CASE WHEN s > 0 AND e > 0 THEN p[e:] ELSE [] END AS tail FROM marks
 ), room AS (
   SELECT *, {limit} - len(head) - len(tail) - len(t) AS budget FROM parts
 ), cut AS (
@@ -182,7 +182,7 @@ def truncation_counts(spark, sf):
     return examples.pack(example_rows(spark, sf), 128).groupBy("trunc_kind").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {STATES} SELECT conv_id, state_index, 'Recent turns:' || chr(10) || w3_text || chr(10) || chr(10) || 'Conversation:' || chr(10) || w_full_text AS judge_context, 'Conversation: ' || left(w_full_text, 120) AS secondary_context FROM states")
+@query(f"WITH {STATES} SELECT conv_id, state_index, 'Recent turns:' || chr(10) || w3_text || chr(10) || chr(10) || 'Full context:' || chr(10) || w_full_text AS judge_context, 'full:    ' || left(w_full_text, 120) AS secondary_context FROM states")
 def judge_contexts(spark, sf):
     return states.judge_context(state_rows(spark, sf)).select("conv_id", "state_index", "judge_context", "secondary_context")
 
@@ -199,7 +199,7 @@ def disjoint_segments(spark, sf):
 
 
 @query(f"""WITH {ROWS}, w AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY pos) AS h FROM lined GROUP BY conv_id)
-SELECT conv_id, {quoted(f"{marker('system')}{SYSTEM_PROMPT}{marker('/system')}")} || chr(10) || '{marker("context")}' || {context_sql("conv_id::VARCHAR")} || '{marker("/context")}' || chr(10) || '{marker("conversation")}' || chr(10) || h || chr(10) || '{marker("agent")}' AS prompt FROM w""")
+SELECT conv_id, {quoted(f"{marker('system')}{SYSTEM_PROMPT}{marker('/system')}")} || chr(10) || '{marker("context")}' || {context_sql("conv_id::VARCHAR")} || '{marker("/context")}' || chr(10) || '{marker("conversation")}' || chr(10) || h || chr(10) || '{marker("/conversation")}' || chr(10) || '{marker("agent")}' AS prompt FROM w""")
 def prompt_render(spark, sf):
     rows = turns(spark, sf)
     return rows.select("conv_id", examples.prompt(SYSTEM_PROMPT, examples.context(F.col("conv_id").cast("string")), examples.rendered("turns"), blank_line_on_empty=False).alias("prompt"))
@@ -212,6 +212,32 @@ def response_trim(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", trim_response(answer).alias("trimmed"))
 
 
+_TRIM = STRIP.format(r"regexp_extract({}, '^(.*?)(?:<\|customer\|>|<\|/conversation\|>|<\|agent\|>|$)', 1, 's')")
+
+
+@query(f"""WITH {ROWS}, w AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY pos) || chr(10) || '{marker("/conversation")}' || chr(10) || '{marker("agent")}' AS p FROM lined GROUP BY conv_id)
+SELECT conv_id, {_TRIM.format("' Noted: ' || right(p, 40)")} AS tuned, {_TRIM.format("' Base: ' || right(p, 36)")} AS base FROM w""")
+def ab_generation(spark, sf):
+    """Replies of two generators to the same prompts, side by side."""
+    p = examples.prompt(SYSTEM_PROMPT, F.lit(""), examples.rendered("turns"), blank_line_on_empty=False)
+    return turns(spark, sf).select("conv_id", trim_response(providers.reply_to(p)).alias("tuned"), trim_response(providers.base_reply_to(p)).alias("base"))
+
+
+@query("""WITH i AS (SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 4 = 2 AND conv_id % 3 = 0 THEN ' Quit ' ELSE text END AS text FROM conversations WHERE role = 'user'),
+q AS (SELECT *, sum(CASE WHEN lower(trim(text)) = 'quit' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS quits FROM i),
+c AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY seq)::INT AS k, """ + STRIP.format("text") + f""" AS text FROM q WHERE quits = 0),
+tails AS (SELECT session, k, '{marker("customer")}' || text AS tail FROM c UNION ALL SELECT DISTINCT session, 0, '{marker("conversation")}' FROM i)
+SELECT session, 2 * k AS n, 'customer' AS speaker, text FROM c UNION ALL
+SELECT session, 2 * k + 1, 'agent', {_TRIM.format(f"' Noted: ' || right(tail || chr(10) || '{marker('/conversation')}' || chr(10) || '{marker('agent')}', 40)")} FROM tails""")
+def dialogue_two_sided(spark, sf):
+    """Whole dialogues: the agent opens and answers each customer input until a `quit`."""
+    rows = table(spark, sf, "conversations").where("role = 'user'")
+    text = F.when((F.col("turn") % 4 == 2) & (F.col("conv_id") % 3 == 0), " Quit ").otherwise(F.col("text"))
+    inputs = rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), text.alias("text"))
+    lines = lambda t: F.array_join(F.transform(t, lambda x: F.concat(F.when(x.speaker == "agent", marker("agent")).otherwise(marker("customer")), x.text)), "\n")
+    return dialogue.two_sided(inputs, lambda t: examples.prompt(SYSTEM_PROMPT, F.lit(""), lines(t), blank_line_on_empty=False), providers.reply_to)
+
+
 @query("""WITH i AS (SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 4 = 2 AND conv_id % 3 = 0 THEN ' Quit ' ELSE text END AS text FROM conversations WHERE role = 'user'),
 q AS (SELECT *, sum(CASE WHEN lower(trim(text)) = 'quit' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS quits FROM i)
 SELECT session, row_number() OVER (PARTITION BY session ORDER BY seq)::INT AS n, """ + STRIP.format("text") + """ AS text FROM q WHERE quits = 0""")

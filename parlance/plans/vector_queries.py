@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.config import Config
 from parlance.functions.text import rating
-from parlance.operators import providers, ratings, reports, sampling, states, vectors
+from parlance.operators import compliance, providers, ratings, reports, sampling, states, vectors
 from parlance.plans.inputs import HASH, PARTS, STATES, state_rows, table
 from parlance.sources import io
 
@@ -92,15 +92,12 @@ def adhoc_topk(spark, sf):
     return _topk(spark, sf, {p: WEIGHTED[p] for p in PARTS[:3]} | {"absent": 9.0}, same_group="keep")
 
 
-_FEW = "c.vec_id < 30"
-
-
-@query(f"""WITH {UNITS}, top AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, q.label = c.label AS own, {score_sql(UNIFORM)} AS score FROM units q, units c WHERE q.vec_id % {EVERY} = 0 AND {_FEW})
+@query(f"""WITH {UNITS}, top AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, q.label = c.label AS own, {score_sql(UNIFORM)} AS score FROM units q, units c WHERE q.vec_id % {EVERY} = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY own, score DESC, cand_id)::INT AS rank, cand_id, CASE WHEN own THEN '-inf' ELSE round(score, 4)::DECIMAL(9, 4)::VARCHAR END AS score FROM (SELECT query_id, cand_id, own, CASE WHEN own THEN 0 ELSE score END AS score FROM top) QUALIFY rank <= 28""")
 def masked_topk(spark, sf):
-    """Candidates of the own group stay, with a score of minus infinity, where others run out."""
+    """Candidates of the own group stay, with a score of minus infinity: they come where others run out."""
     e = table(spark, sf, "embeddings")
-    found = vectors.topk(asked(e), e.where("vec_id < 30"), UNIFORM, PARTS, 28, same_group="mask")
+    found = vectors.topk(asked(e), e, UNIFORM, PARTS, 28, same_group="mask")
     shown = F.when(F.col("score") == float("-inf"), "-inf").otherwise(F.round("score", 4).cast("decimal(9,4)").cast("string"))
     return found.withColumn("score", shown)
 
@@ -111,11 +108,11 @@ def similarity_breakdown(spark, sf):
     return vectors.breakdown(composite_topk(spark, sf), asked(e), e, PARTS)
 
 
-@query(f"WITH {topk_sql(UNIFORM, 'c.label = 0', f'q.label = 1 AND q.vec_id % {EVERY} < 5')} SELECT * FROM best")
+@query(f"WITH {topk_sql(UNIFORM, 'c.label = 0', f'q.label = 1 AND q.vec_id % {EVERY} = 0')} SELECT * FROM best")
 def cross_outcome_pairs(spark, sf):
     """The nearest states of the other outcome: chosen against rejected."""
     e = table(spark, sf, "embeddings")
-    return vectors.topk(e.where(f"label = 1 and vec_id % {EVERY} < 5"), e.where("label = 0"), UNIFORM, PARTS, DEFAULTS.top_k)
+    return vectors.topk(asked(e).where("label = 1"), e.where("label = 0"), UNIFORM, PARTS, DEFAULTS.top_k)
 
 
 @query(f"WITH {topk_sql(UNIFORM)} SELECT query_id, cand_id, score FROM best WHERE score >= 0.3")
@@ -125,11 +122,15 @@ def divergent_neighbours(spark, sf):
 
 
 # --- text: embed, index, retrieve -------------------------------------------------------------------------------------
-_NAMES = ["w_0", "w2", "w_full"]
+_NAMES = list(states.ORDER)
+#: A state's id: a conversation has under 2^31 turns, so no two states share one.
+STATE_ID = "conv_id * 2147483648 + state_index"
+SUMMARY = "'Turns: ' || len(string_split({t}, chr(10))) || '; begins: ' || left({t}, 60)"
 _VECTOR = "list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter({h}, lambda h: h % 64 = d), lambda h: CASE WHEN (h // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END)), 0.0::DOUBLE))"
 _WORDS = "list_filter(string_split_regex(lower({t}), '\\s+'), lambda w: w <> '')"
-EMBEDDED = f"""{STATES}, long AS (
-  SELECT conv_id, conv_id * 100 + state_index AS vec_id, w."window", CASE w."window" {" ".join(f"WHEN '{w}' THEN {w}_text" for w in _NAMES)} END AS text FROM states, unnest({_NAMES!r}) AS w("window")
+SUMMARISED = f"""{STATES}, full_states AS (SELECT *, {STATE_ID} AS vec_id, {SUMMARY.format(t="w_full_text")} AS w_summary_text FROM states)"""
+EMBEDDED = f"""{SUMMARISED}, long AS (
+  SELECT conv_id, vec_id, w."window", CASE w."window" {" ".join(f"WHEN '{w}' THEN {w}_text" for w in _NAMES)} END AS text FROM full_states, unnest({_NAMES!r}) AS w("window")
 ), hashed AS (
   SELECT *, list_transform({_WORDS.format(t="text")}, lambda w: {HASH.format("w")}) AS h FROM long
 ), vectored AS (
@@ -139,18 +140,14 @@ EMBEDDED = f"""{STATES}, long AS (
 )"""
 
 
-def state_id():
-    """The SQL's id where that is unique; from a conversation's state 100 on, where it meets the next one's, a negative id.
-
-    Conversation ids are not negative; an array has under 2^31 turns, so no two states share an id.
-    """
-    return F.expr("if(state_index < 100, conv_id * 100 + state_index, -(conv_id * 2147483648 + state_index))")
+def summarised(spark, sf) -> DataFrame:
+    """States with their id and a summary as eighth window."""
+    return state_rows(spark, sf).withColumn("vec_id", F.expr(STATE_ID)).withColumn("w_summary_text", providers.summary_of(F.col("w_full_text")))
 
 
 def embedded(spark, sf) -> DataFrame:
     """(conv_id, vec_id, window, text, vec): each distinct text is embedded once."""
-    rows = state_rows(spark, sf).withColumn("vec_id", state_id())
-    return providers.embed_distinct(states.windows_long(rows, tuple(_NAMES), ("conv_id", "vec_id")))
+    return providers.embed_distinct(states.windows_long(summarised(spark, sf), tuple(_NAMES), ("conv_id", "vec_id")))
 
 
 @query(f'WITH {EMBEDDED} SELECT vec_id, "window", i::INT AS dim, round(u[i + 1], 6) + 0.0 AS value FROM normed, unnest(range(64)) AS t(i) WHERE u[i + 1] <> 0')
@@ -165,29 +162,101 @@ def _index(rows: DataFrame) -> DataFrame:
     return wide.select("conv_id", "vec_id", F.concat(*[f"v_{w}" for w in _NAMES]).alias("embedding"))
 
 
-_TEXT_WEIGHTS = {"w_0": 0.5, "w2": 0.3, "w_full": 0.2}
+_TEXT_WEIGHTS = {"w_0": 3.0, "w1": 1.0, "w2": 2.0, "w3": 1.0, "w5": 1.0, "w10": 1.0, "w_full": 1.0, "w_summary": 2.0}
+_TEXT_SCORE = " + ".join(f"{w / sum(_TEXT_WEIGHTS.values())!r} * list_inner_product(q.n{j}, c.n{j})" for j, w in enumerate(_TEXT_WEIGHTS.values()))
+STORED = f"""{EMBEDDED}, wide AS (SELECT conv_id, vec_id, {", ".join(f"first(u) FILTER (\"window\" = '{w}') AS u{j}" for j, w in enumerate(_NAMES))} FROM normed GROUP BY ALL),
+stored AS (SELECT conv_id, vec_id, {", ".join(f"{_NORMED.format(v=f'u{j}')} AS n{j}" for j in range(len(_NAMES)))} FROM wide)"""
 
 
-@query(f"""WITH {EMBEDDED}, wide AS (SELECT conv_id, vec_id, {", ".join(f"first(u) FILTER (\"window\" = '{w}') AS u{j}" for j, w in enumerate(_NAMES))} FROM normed GROUP BY ALL),
-stored AS (SELECT conv_id, vec_id, {", ".join(f"{_NORMED.format(v=f'u{j}')} AS n{j}" for j in range(len(_NAMES)))} FROM wide),
-top AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, round({" + ".join(f"{w} * list_inner_product(q.n{j}, c.n{j})" for j, w in enumerate(_TEXT_WEIGHTS.values()))}, 6) + 0.0 AS score FROM stored q, stored c WHERE q.vec_id % 4 = 0 AND q.conv_id <> c.conv_id)
-SELECT query_id, max(score) AS best_score, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS r FROM top QUALIFY r <= 5) GROUP BY 1""")
-def text_retrieval(spark, sf):
-    """Transcripts to states to window embeddings to the best matches of other conversations: the best score of each query."""
+def retrieved_sql(asked: str) -> str:
+    return f"""top AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, round({_TEXT_SCORE}, 6) + 0.0 AS score FROM stored q, stored c WHERE {asked} AND q.conv_id <> c.conv_id),
+best AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id)::INT AS rank, cand_id, score FROM top QUALIFY rank <= 5)"""
+
+
+def retrieved(spark, sf, chosen: DataFrame | None = None) -> DataFrame:
+    """The best matches of other conversations for the states in ``chosen`` (vec_id), else for every 20th id."""
     index = _index(embedded(spark, sf))
-    found = vectors.topk(index.where("vec_id % 4 = 0"), index, _TEXT_WEIGHTS, _NAMES, DEFAULTS.top_k, group="conv_id")
-    return found.groupBy("query_id").agg(F.max("score").alias("best_score"), F.count("*").alias("n"))
+    rows = asked(index) if chosen is None else index.join(chosen.select("vec_id"), "vec_id", "left_semi")
+    return vectors.topk(rows, index, _TEXT_WEIGHTS, _NAMES, DEFAULTS.top_k, group="conv_id")
+
+
+@query(f"WITH {STORED}, {retrieved_sql(f'q.vec_id % {EVERY} = 0')} SELECT * FROM best")
+def text_retrieval(spark, sf):
+    """Transcripts to states to embeddings of all eight windows to the ranked matches in other conversations."""
+    return retrieved(spark, sf)
+
+
+@query(f"""WITH {STORED}, {retrieved_sql(f'q.vec_id % {EVERY} = 0')}
+SELECT query_id, rank, score, q.conv_id AS query_conv, q.state_index AS query_state, q.n_turns_available AS query_turns, left(q.w_0_text, 200) AS customer, left(q.agent_response, 200) AS response, left(q.w_summary_text, 200) AS summary,
+  c.conv_id AS match_conv, c.state_index AS match_state, left(c.w_0_text, 150) AS match_customer, left(c.agent_response, 150) AS match_response
+FROM best JOIN full_states q ON q.vec_id = query_id JOIN full_states c ON c.vec_id = cand_id""")
+def retrieval_display(spark, sf):
+    """Ranked matches with what a reader is shown of the query and of the match."""
+    rows = summarised(spark, sf)
+    show = lambda c, n: F.substring(c, 1, n)
+    q = rows.select(F.col("vec_id").alias("query_id"), F.col("conv_id").alias("query_conv"), F.col("state_index").alias("query_state"), F.col("n_turns_available").alias("query_turns"), show("w_0_text", 200).alias("customer"), show("agent_response", 200).alias("response"), show("w_summary_text", 200).alias("summary"))
+    c = rows.select(F.col("vec_id").alias("cand_id"), F.col("conv_id").alias("match_conv"), F.col("state_index").alias("match_state"), show("w_0_text", 150).alias("match_customer"), show("agent_response", 150).alias("match_response"))
+    return retrieved(spark, sf).join(q, "query_id").join(c, "cand_id").drop("cand_id")
+
+
+_CONTEXT = "'Recent turns:' || chr(10) || {s}.w3_text || chr(10) || chr(10) || 'Summary:' || chr(10) || {s}.w_summary_text"
+
 
+@query(f"""WITH {STORED}, {retrieved_sql(f'q.vec_id % {EVERY} = 0')}
+SELECT query_id, cand_id, 'Would the same reply of the agent serve both of these states? Answer with one number from 1 (not at all) to 5 (fully).' || chr(10) || chr(10) || 'First state:' || chr(10)
+  || {_CONTEXT.format(s="q")} || chr(10) || chr(10) || 'Second state:' || chr(10) || {_CONTEXT.format(s="c")} AS prompt
+FROM best JOIN full_states q ON q.vec_id = query_id JOIN full_states c ON c.vec_id = cand_id""")
+def judge_prompts(spark, sf):
+    """What a judge is asked about each retrieved pair."""
+    rows = states.judge_context(summarised(spark, sf)).select("vec_id", "judge_context")
+    pairs = retrieved(spark, sf).join(rows.toDF("query_id", "a"), "query_id").join(rows.toDF("cand_id", "b"), "cand_id")
+    return pairs.select("query_id", "cand_id", states.pair_prompt("a", "b").alias("prompt"))
 
-@query(f'WITH {EMBEDDED} SELECT count(DISTINCT vec_id) AS n_states, count(DISTINCT "window") AS n_windows, count(*) AS n_vectors FROM normed')
+
+@query(f'WITH {SUMMARISED} SELECT vec_id AS state_id, {len(_NAMES)} AS n_windows, agent_response, label FROM full_states LEFT JOIN (SELECT doc_id, quality::INT AS label FROM labels) ON doc_id = conv_id')
 def index_round_trip(spark, sf):
-    """The index written, read again and held against its metadata."""
+    """The index written, read again, held against its metadata and joined to it."""
     path = io.scratch(spark, "index")
     rows = embedded(spark, sf).withColumnRenamed("vec_id", "state_id")
-    meta = state_rows(spark, sf).withColumn("state_id", state_id())
+    label = table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"), F.col("quality").cast("int").alias("label"))
+    meta = summarised(spark, sf).withColumnRenamed("vec_id", "state_id").join(label, "conv_id", "left")
     io.write_index(rows.select("state_id", "window", "vec"), meta, path)
-    stored, _, _ = io.read_index(spark, path, states.ORDER, 64)
-    return stored.agg(F.count_distinct("state_id").alias("n_states"), F.count_distinct("window").alias("n_windows"), F.count("*").alias("n_vectors"))
+    stored, metadata, _ = io.read_index(spark, path, states.ORDER, 64)
+    counted = stored.groupBy("state_id").agg(F.count_distinct("window").cast("int").alias("n_windows"))
+    return counted.join(metadata, "state_id").select("state_id", "n_windows", "agent_response", "label")
+
+
+@query(f"WITH {STATES} SELECT conv_id, state_index, 'Summarise the conversation in six fields (need, product, objections, promises, mood, next step).' || chr(10) || chr(10) || w_full_text AS summary_prompt FROM states")
+def summary_prompts(spark, sf):
+    return states.summary_prompt(state_rows(spark, sf)).select("conv_id", "state_index", "summary_prompt")
+
+
+@query(f"WITH {SUMMARISED} SELECT conv_id, state_index, CASE WHEN conv_id % 3 = 0 AND state_index = 0 THEN 'kept ' || conv_id || '|' || state_index ELSE w_summary_text END AS summary FROM full_states")
+def summary_cache(spark, sf):
+    """Summaries from an append-only cache; those that it lacks are made, appended and found on the next read."""
+    path = io.scratch(spark, "summaries")
+    rows = state_rows(spark, sf).select("conv_id", "state_index", ratings.state_key(F.col("conv_id"), F.col("state_index")).alias("key"), "w_full_text")
+    kept = rows.where("conv_id % 3 = 0 and state_index = 0").select("key", F.concat(F.lit("kept "), "key").alias("summary"), F.lit(0).cast("long").alias("seq"))
+    io.append_cache(kept, path)
+    missing = ratings.misses(rows, io.read_cache(spark, path, "summary", io.SUMMARIES), ["key"])
+    io.append_cache(missing.select("key", providers.summary_of(F.col("w_full_text")).alias("summary"), F.lit(1).cast("long").alias("seq")), path)
+    return rows.join(io.read_cache(spark, path, "summary", io.SUMMARIES), "key").select("conv_id", "state_index", "summary")
+
+
+@query(f"""WITH {STATES}, asked AS (SELECT conv_id, arg_max(w2_text, state_index) AS text FROM states GROUP BY conv_id),
+texts AS (SELECT 0 AS kind, conv_id AS id, text FROM asked UNION ALL SELECT 1, item_id, text FROM benchmark),
+hashed AS (SELECT kind, id, text, list_transform({_WORDS.format(t="text")}, lambda w: {HASH.format("w")}) AS h FROM texts),
+vectored AS (SELECT kind, id, text, {_VECTOR.format(h="h")} AS v FROM hashed), once AS (SELECT kind, id, text, {_NORMED.format(v="v")} AS u FROM vectored), normed AS (SELECT kind, id, text, {_NORMED.format(v="u")} AS n FROM once),
+top AS (SELECT q.id AS query_id, c.id AS cand_id, c.text, round(list_inner_product(q.n, c.n), 6) + 0.0 AS score FROM normed q, normed c WHERE q.kind = 0 AND c.kind = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank FROM top QUALIFY rank <= 2)
+SELECT query_id AS conv_id, string_agg(left(text, 80), chr(10) ORDER BY rank) AS context FROM best GROUP BY query_id""")
+def context_documents(spark, sf):
+    """The texts nearest to a conversation's recent turns, for the context block of its prompt."""
+    last = state_rows(spark, sf).groupBy("conv_id").agg(F.max_by("w2_text", "state_index").alias("text"))
+    texts = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("vec_id"), "text")
+    vectored = lambda df: providers.embed_distinct(df).select("vec_id", F.lit(None).cast("string").alias("label"), F.col("vec").alias("embedding"))
+    found = vectors.topk(vectored(last.withColumnRenamed("conv_id", "vec_id")), vectored(texts), {"text": 1.0}, ["text"], 2, same_group="keep")
+    return compliance.context_of(found, texts.withColumnRenamed("vec_id", "cand_id")).withColumnRenamed("query_id", "conv_id")
 
 
 # --- samples ----------------------------------------------------------------------------------------------------------
@@ -199,9 +268,15 @@ BINNED = f"""{STATES}, sized AS (SELECT conv_id, state_index, count(*) OVER (PAR
 several AS (SELECT *, state_index / greatest(last, 1) AS position FROM sized WHERE n_states > 1),
 edges AS (SELECT quantile_cont(n_states, 1 / 3) AS low, quantile_cont(n_states, 2 / 3) AS high FROM several),
 binned AS (SELECT conv_id, state_index, CASE WHEN position <= 0.33 THEN 'early' WHEN position <= 0.67 THEN 'mid' ELSE 'late' END || '_' || CASE WHEN n_states <= low THEN 'short' WHEN n_states <= high THEN 'medium' ELSE 'long' END AS stratum FROM several, edges)"""
-SAMPLED = f"""{BINNED}, ranked AS (SELECT *, {HASH.format("'42|' || conv_id || '|' || state_index")} AS draw FROM binned),
-per AS (SELECT greatest(1, 80 // greatest(count(DISTINCT stratum), 1)) AS per FROM binned),
-sampled AS (SELECT conv_id, state_index, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw, conv_id, state_index) AS nth FROM ranked), per ORDER BY nth <= per DESC, draw, conv_id, state_index LIMIT 80)"""
+
+
+def sampled_sql(name: str, n: int, seed: int) -> str:
+    return f"""{name} AS (SELECT conv_id, state_index, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw, conv_id, state_index) AS nth FROM (SELECT *, {HASH.format(f"'{seed}|' || conv_id || '|' || state_index")} AS draw FROM binned)),
+  (SELECT greatest(1, {n} // greatest(count(DISTINCT stratum), 1)) AS per FROM binned) ORDER BY nth <= per DESC, draw, conv_id, state_index LIMIT {n})"""
+
+
+SAMPLED = f"{BINNED}, {sampled_sql('sampled', 80, 42)}"
+HELD = f"{SAMPLED}, {sampled_sql('drawn_held', 30, 99)}, held AS (SELECT conv_id, state_index FROM drawn_held ANTI JOIN sampled USING (conv_id, state_index))"
 
 
 def binned(spark, sf) -> DataFrame:
@@ -218,11 +293,40 @@ def stratified_sample(spark, sf):
     return sampling.sample(binned(spark, sf), DEFAULTS.eval_states, DEFAULTS.eval_seed, state_key()).select("conv_id", "state_index", "stratum")
 
 
-@query(f"WITH {SAMPLED}, h AS (SELECT conv_id, state_index FROM states ORDER BY {HASH.format("'99|' || conv_id || '|' || state_index")}, conv_id, state_index LIMIT 30) SELECT h.* FROM h ANTI JOIN sampled USING (conv_id, state_index)")
+def held_out(spark, sf) -> DataFrame:
+    """(conv_id, state_index) of the hold-out: a stratified sample under its own seed, less the evaluation states."""
+    rows = binned(spark, sf)
+    chosen = sampling.sample(rows, DEFAULTS.eval_states, DEFAULTS.eval_seed, state_key())
+    return sampling.holdout(rows, chosen, DEFAULTS.holdout, DEFAULTS.holdout_seed, state_key()).select("conv_id", "state_index")
+
+
+@query(f"WITH {HELD} SELECT * FROM held")
 def holdout_split(spark, sf):
-    chosen = sampling.sample(binned(spark, sf), DEFAULTS.eval_states, DEFAULTS.eval_seed, state_key())
-    every = state_rows(spark, sf).select("conv_id", "state_index")
-    return sampling.holdout(every, chosen, DEFAULTS.holdout, DEFAULTS.holdout_seed, state_key()).select("conv_id", "state_index")
+    return held_out(spark, sf)
+
+
+@query(f"""WITH {SAMPLED}, v AS (SELECT n_turns_available::DOUBLE AS v FROM states JOIN sampled USING (conv_id, state_index)),
+e AS (SELECT list_sort(list_distinct([quantile_cont(v, 0), quantile_cont(v, 1 / 3), quantile_cont(v, 2 / 3), quantile_cont(v, 1)])) AS e FROM v),
+placed AS (SELECT e, least(greatest(len(e) - 1, 1), greatest(1, len(list_filter(e, lambda x: x < v)))) AS i FROM v, e)
+SELECT '(' || (CASE WHEN i = 1 THEN e[1] - 0.001 ELSE e[i] END)::DECIMAL(18, 3)::VARCHAR || ', ' || coalesce(e[i + 1], e[1])::DECIMAL(18, 3)::VARCHAR || ']' AS "interval", count(*) AS n FROM placed GROUP BY 1""")
+def turns_terciles(spark, sf):
+    """How the sampled states spread over terciles of the turns before them."""
+    chosen = sampling.sample(binned(spark, sf), DEFAULTS.eval_states, DEFAULTS.eval_seed, state_key()).select("conv_id", "state_index")
+    rows = state_rows(spark, sf).select("conv_id", "state_index", "n_turns_available").join(chosen, ["conv_id", "state_index"], "left_semi")
+    return reports.tercile_intervals(rows, "n_turns_available")
+
+
+@query(f"""WITH {HELD.replace(STATES, STORED, 1)}, {retrieved_sql("q.vec_id IN (SELECT " + STATE_ID + " FROM held)")},
+rated AS (SELECT *, (1 + floor(4 * greatest(0, least(1, score))))::INT AS rating FROM best), few AS (SELECT * FROM rated WHERE rating <= 2 ORDER BY query_id, rank LIMIT 5)
+SELECT query_id, rank, cand_id, rating, {", ".join(f"{t}.{c} AS {n}_{c}" for t, n in (("q", "query"), ("c", "cand")) for c in ("conv_id", "state_index", "n_turns_available"))},
+  {", ".join(f"left({t}.w1_text, 120) AS {n}_w1, 'summary: ' || left({t}.w_summary_text, 120) AS {n}_context" for t, n in (("q", "query"), ("c", "cand")))}
+FROM few JOIN full_states q ON q.vec_id = query_id JOIN full_states c ON c.vec_id = cand_id""")
+def failure_report(spark, sf):
+    """The first five poorly rated matches of held-out states, with both states' contexts (a report of five rows)."""
+    held = held_out(spark, sf).select(F.expr(STATE_ID).alias("vec_id"))
+    rated = retrieved(spark, sf, held).withColumn("rating", rating(providers.judge_of(F.col("score"))))
+    metadata = states.judge_context(summarised(spark, sf)).withColumnRenamed("vec_id", "state_id")
+    return ratings.failures(rated, metadata, DEFAULTS.failures_shown, DEFAULTS.poor_rating)
 
 
 @query(f"WITH {STATES}, numbered AS (SELECT conv_id, state_index, row_number() OVER (ORDER BY conv_id, state_index) - 1 AS i, count(*) OVER () AS n FROM states) SELECT conv_id, state_index FROM numbered WHERE i IN (n // 10, n // 2, (n * 9) // 10)")
@@ -299,7 +403,8 @@ def sims_sql(at: int, name: str = "rated") -> str:
 
 
 def results_sql(name: str, pairs: str, weights: str) -> str:
-    score = " + ".join(f"w_{p} * sim_{p}" for p in PARTS)
+    total = " + ".join(f"w_{p}" for p in PARTS)
+    score = " + ".join(f"(w_{p} / ({total})) * sim_{p}" for p in PARTS)
     return f"""{name} AS (SELECT trial, query_id, row_number() OVER (PARTITION BY trial, query_id ORDER BY score DESC, cand_id)::INT AS rank, cand_id, score, rating
   FROM (SELECT trial, query_id, cand_id, rating, round({score}, 6) AS score FROM {pairs}, {weights}) QUALIFY rank <= 5)"""
 
@@ -319,9 +424,9 @@ def trials(spark, n: int = N_TRIALS) -> DataFrame:
     return ratings.trial_weights(spark.range(n).select(F.col("id").cast("int").alias("trial")), PARTS, DEFAULTS.eval_seed, *DEFAULTS.weight_range)
 
 
-def searched(spark, sf, at: int = 0, weights: DataFrame | None = None) -> DataFrame:
+def searched(spark, sf, at: int = 0, weights: DataFrame | None = None, cache: str | None = None) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return ratings.search(e.where(F.col("vec_id") % EVERY == at), e, trials(spark) if weights is None else weights, PARTS, judge(), DEFAULTS.top_k)
+    return ratings.search(e.where(F.col("vec_id") % EVERY == at), e, trials(spark) if weights is None else weights, PARTS, judge(), DEFAULTS.top_k, cache)
 
 
 @query(f"WITH {TRIALS.format(n=N_TRIALS)} SELECT * FROM weights")
@@ -334,10 +439,20 @@ def weight_search(spark, sf):
     return ratings.trial_values(searched(spark, sf))
 
 
+@query(f"WITH {SEARCH}, pairs AS (SELECT count(*) AS cache_size FROM (SELECT DISTINCT query_id, cand_id FROM results)) SELECT * FROM vals, pairs")
+def weight_search_cached(spark, sf):
+    """The search in two sessions over one rating cache: the judge sees only pairs that the cache lacks."""
+    path = io.scratch(spark, "ratings")
+    searched(spark, sf, weights=trials(spark, 10), cache=path)
+    values = ratings.trial_values(searched(spark, sf, cache=path))
+    return values.withColumn("cache_size", F.lit(ratings.cached(spark, path).count()).cast("long"))
+
+
 @query(f"WITH {SEARCH}, top AS (SELECT trial FROM vals ORDER BY value DESC, trial LIMIT 1) SELECT \"window\", weight, repeat('#', floor(weight * 50)::INT) AS bar FROM weights JOIN top USING (trial)")
 def best_weights(spark, sf):
     best = ratings.best_trial(ratings.trial_values(searched(spark, sf)))
-    return reports.bars(trials(spark).join(best.select("trial"), "trial", "left_semi").select("window", "weight"))
+    chosen = trials(spark).join(best.select("trial"), "trial", "left_semi").select("window", "weight")
+    return reports.bars(chosen).orderBy(F.col("weight").desc(), "window")
 
 
 @query(f"WITH {SEARCH} SELECT rating, count(*) AS n FROM results GROUP BY 1")
@@ -371,12 +486,12 @@ def holdout_compare(spark, sf):
     return rows.groupBy("query_id").agg(F.round(mean(1), 6).alias("optimised"), F.round(mean(0), 6).alias("uniform"), F.round(mean(1) - mean(0), 6).alias("delta"))
 
 
-@query("SELECT 12 AS n_done, 38 AS n_remaining")
+@query(f"WITH {TRIALS.format(n=12)} SELECT trial, max(weight) AS value, count(*) AS n_ratings, 38 AS n_remaining FROM weights GROUP BY trial")
 def study_resume(spark, sf):
-    """Trials appended to a study in two sessions; what is left of fifty."""
+    """Trials appended to a study in two sessions and read again, with how many of fifty are left."""
     path = io.scratch(spark, "study")
     rows = trials(spark, 12).groupBy("trial").agg(F.max("weight").alias("value"), F.count("*").alias("n_ratings"))
     io.append_trials(rows.where("trial < 5"), path)
     io.append_trials(rows.where("trial >= 5"), path)
     done = spark.read.schema(io.TRIALS).parquet(path)
-    return spark.createDataFrame([(done.count(), ratings.remaining(done, DEFAULTS.trials))], "n_done int, n_remaining int")
+    return done.withColumn("n_remaining", F.lit(ratings.remaining(done, DEFAULTS.trials)))

@@ -8,19 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators.ratings import latest
+from parlance.operators.ratings import RATINGS, latest  # noqa: F401
 
 RAW = "conversation_id string, label int, transcript string"
 EXAMPLES = "conversation_id string, target_turn_index int, prefix string, target string, full_text string, cleaned_target string"
-RATINGS = "key string, rating int, query_idx long, candidate_idx long, seq long"
 SUMMARIES = "key string, summary string, seq long"
 TRIALS = "trial int, value double, n_ratings long"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
+    """A new path in the folder that driver and executors share; a temporary one only for a local session that names none."""
     chosen = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not chosen:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         chosen = tempfile.mkdtemp(prefix="parlance-shared-")
         spark.conf.set("spark.checkpoint.dir", chosen)
     return f"{chosen.rstrip('/')}/parlance-{name}-{uuid.uuid4().hex}"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import strip
+from parlance.functions.text import strip, trim_response
 
 
 def replay(inputs: DataFrame) -> DataFrame:
@@ -19,6 +19,27 @@ def replay(inputs: DataFrame) -> DataFrame:
     return rows.select("session", F.row_number().over(w).alias("n"), strip(F.col("text")).alias("text"))
 
 
+def two_sided(inputs: DataFrame, prompt: Callable[[Column], Column], generate: Callable[[Column], Column]) -> DataFrame:
+    """(session, n, speaker, text): the whole dialogue, agent first, of (session, seq, text) customer inputs.
+
+    Each agent turn is generated from the prompt over all turns before it and trimmed; an input of `quit` ends the
+    dialogue before it. The dialogue of a session is one fold over its inputs, in the JVM.
+    """
+    asked = replay(inputs).groupBy("session").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda t: t.text).alias("texts"))
+    asked = inputs.select("session").distinct().join(asked, "session", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
+    kind = "array<struct<speaker:string,text:string>>"
+
+    def agent(turns: Column) -> Column:
+        said = trim_response(generate(prompt(turns)))
+        return F.concat(turns, F.array(F.struct(F.lit("agent").alias("speaker"), said.alias("text"))))
+
+    def step(turns: Column, text: Column) -> Column:
+        return agent(F.concat(turns, F.array(F.struct(F.lit("customer").alias("speaker"), text.alias("text")))))
+
+    turns = F.aggregate("texts", agent(F.array().cast(kind)), step)
+    return asked.select("session", F.posexplode(turns).alias("n", "t")).select("session", (F.col("n") + 1).alias("n"), "t.speaker", "t.text")
+
+
 _OUT, _STATE = "session string, n long, text string", "n long, closed boolean"
 
 

@@ -43,7 +43,7 @@ def test_parse(texts, spark):
 def test_validate_and_repair(texts, spark):
     got = {r["conv_id"]: r for r in transcripts.validate(texts).collect()}
     assert got["t1"]["status"] == "OK" and got["t2"]["status"] == got["t6"]["status"] == "WARN"
-    assert got["t6"]["preview"] == got["t9"]["preview"] == "N/A" and got["t1"]["preview"] == "agent(u1): a one"
+    assert got["t6"]["preview"] == got["t9"]["preview"] == "N/A" and got["t1"]["preview"] == "a one"
     fixed = transcripts.repair(texts).select("conv_id", "repaired")
     by = {r["conv_id"]: r["repaired"] for r in fixed.collect()}
     assert by["t2"] == "agent(u1): hi\ncustomer(u2): still me\nagent(u3): ok\ncustomer(u4): bye" and by["t6"] == T["t6"] and by["t9"] is None
