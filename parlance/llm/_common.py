@@ -54,21 +54,21 @@ def seeded_hash(*columns, seed: int):
     return F.xxhash64(F.lit(seed), *columns)
 
 
-#: Most keys whose rows ``spread_join`` joins by broadcast.
-HOT_KEYS = 10_000
+#: Most keys whose rows ``spread_join`` joins by broadcast; and where the other side's rows hold texts.
+HOT_KEYS, HOT_TEXTS = 4_000, 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, how: str = "inner", hot_keys: int = HOT_KEYS) -> DataFrame:
     """``left`` joined to ``right``, which has one row of a key, so that a hot key of ``left`` lands in no one task.
 
-    A key is hot if it holds over 1 / ``HOT_KEYS`` of the rows of ``left``, so there are at most ``HOT_KEYS`` of them: their
-    rows of ``right`` are broadcast, all others are joined by key. ``counts`` (key, n) tells how many rows a key has, if
-    that is known. Both sides should be written tables, as each is read twice. Null keys join nothing.
+    A key is hot if it holds over 1 / ``hot_keys`` of the rows of ``left``, so there are fewer than that: their rows of
+    ``right`` are broadcast, all others are joined by key. ``counts`` (key, n) tells how many rows a key has, if that is
+    known. Both sides should be written tables, as each is read twice. Null keys join nothing.
     """
     counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    limit = max(1, counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
-    hot = counts.where((F.col("n") > max(1, limit)) & F.col(key).isNotNull()).select(key)
-    hot_right = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
-    many = left.join(F.broadcast(hot), key, "left_semi").join(hot_right, key, how)
-    few = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
-    return few.unionByName(many)
+    limit = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // hot_keys)
+    hot = [r[0] for r in counts.where((F.col("n") > limit) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(~is_hot).join(right, key, how).unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how))

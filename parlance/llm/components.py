@@ -24,8 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             break
         seen = state
         both = links.union(links.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        least = materialise(least, "least")
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least")
         large = spread_join(both.where("b > a"), least.select("a", "m"), "a", least.select("a", "n"))
         large = materialise(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-stars")
         # a node's larger neighbours now hang on its least one, so links lead down only and no node has many upwards
