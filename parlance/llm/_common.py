@@ -30,16 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return chosen.rstrip("/")
 
 
+#: Paths of all tables that ``materialise`` has written, in order.
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
-    This cuts lineage and survives the loss of any executor, which a local checkpoint does not.
+    This cuts lineage and survives the loss of any executor, which a local checkpoint does not. Whoever has written the
+    result that was made from it may ``discard`` it.
     """
     path = f"{shared_dir(df.sparkSession)}/parlance-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shielded(docs: DataFrame, *used: str) -> DataFrame:
     """``docs`` with all columns but ``used`` under names that no operator uses; ``toDF(*docs.columns)`` undoes it."""
     return docs.toDF(*[c if c in used else f"__kept_{i}" for i, c in enumerate(docs.columns)])
