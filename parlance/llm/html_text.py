@@ -58,6 +58,7 @@ def blocks(page: str | None) -> list[tuple[bool, str]]:
     """
     out: list[tuple[bool, str]] = []
     stack: list[tuple[str, str]] = []
+    count: dict[str, int] = {}  # open elements by tag, so that no search runs for what is not open
     parts: list[str] = []
     excluded = article = at = 0
 
@@ -74,6 +75,7 @@ def blocks(page: str | None) -> list[tuple[bool, str]]:
         if tag in _BLOCK or kind:
             flush()
         stack.pop()
+        count[tag] -= 1
         excluded -= kind == "out"
         article -= kind == "main"
 
@@ -95,7 +97,7 @@ def blocks(page: str | None) -> list[tuple[bool, str]]:
         if m[2]:
             if tag in _BLOCK:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if count.get(tag) else None
             # An end tag never reaches past an element that sets the zone, unless it is that element's own.
             if depth is not None and (tag in _OUT or tag in ("article", "main", "div", "section", "body", "html") or not any(k for _, k in stack[depth + 1 :])):
                 while len(stack) > depth:
@@ -110,8 +112,8 @@ def blocks(page: str | None) -> list[tuple[bool, str]]:
             flush()
         if tag in _VOID or m[4].rstrip().endswith("/") and tag not in _BLOCK:
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in _CLOSES.get(tag, ()):
+        for i in range(len(stack) - 1, -1, -1) if any(count.get(t) for t in _CLOSES.get(tag, ())) else ():
+            if stack[i][0] in _CLOSES[tag]:
                 while len(stack) > i:
                     pop()
                 break
@@ -121,6 +123,7 @@ def blocks(page: str | None) -> list[tuple[bool, str]]:
         if kind:
             flush()
         stack.append((tag, kind))
+        count[tag] = count.get(tag, 0) + 1
         excluded += kind == "out"
         article += kind == "main"
     flush()

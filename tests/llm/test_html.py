@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -123,3 +124,10 @@ def test_repeated_rows_and_mirrors_keep_their_text(spark, host_tokens):
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, text string, n_tokens long")
     got = sorted((r["page_id"], r["text"]) for r in html_text.unique_runs(pages, host_tokens=host_tokens).collect())
     assert got == [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "k l m")]
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 200_000 + "</i>" * 200_000, "<span>" * 100_000 + "<p>y" * 100_000, "<div>" * 100_000 + "z" + "</div>" * 100_000, "<b>" * 100_000 + "</b>" * 100_000, "<li>w" * 200_000])
+def test_nested_pages_of_a_megabyte_take_seconds(page):
+    began = time.time()
+    assert html_text.blocks(page) or "<b>" in page
+    assert time.time() - began < 20
