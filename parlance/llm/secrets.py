@@ -110,7 +110,7 @@ def labelled(found: DataFrame) -> DataFrame:
     """(label, v) strings of 20 characters and more; 1 for random ones, 0 for ordinary identifiers.
 
     Random: what the patterns find, in a sample of the rows that have any, and made strings of several alphabets, some of
-    which no pattern sees. Ordinary: long words of the sampled texts, and up to three words that stand one after another,
+    which no pattern sees. Ordinary: long words of the sampled texts, and each three words that stand one after another,
     joined by underscores, by hyphens or by nothing with capitals at the start, and by underscores in capitals; whole
     and cut to 20 to 39 characters, as the quantiles of a mean depend on length.
     """
@@ -119,7 +119,7 @@ def labelled(found: DataFrame) -> DataFrame:
     random = bears.where(draw < share).select(F.lit(1).alias("label"), F.explode("__base.v").alias("v")).where(F.length("v") <= SAMPLE_CHARS)
     forms = ("array_join(w, '_')", "array_join(w, '-')", "array_join(transform(w, y -> initcap(y)), '')", "upper(array_join(w, '_'))")
     joined = ", ".join(f"transform(filter(threes, (w, i) -> i % {len(forms)} = {k}), w -> {form})" for k, form in enumerate(forms))
-    threes = "transform(sequence(1, greatest(1, size(__plain) - 2)), i -> slice(__plain, i, 3))"
+    threes = "transform(sequence(1, greatest(1, size(__plain) - 2), 3), i -> slice(__plain, i, 3))"
     ordinary = found.where("size(__plain) > 0").withColumn("threes", F.expr(threes)).select(F.explode(F.expr(f"concat(filter(__plain, w -> length(w) >= {LEAST}), {joined})")).alias("v"))
     ordinary = ordinary.select(F.lit(0).alias("label"), F.explode(F.expr(f"array(v, substring(v, 1, cast({LEAST} + pmod(xxhash64(v), {LEAST}) as int)))")).alias("v"))
     strings = random.unionByName(made_samples(found.sparkSession)).unionByName(ordinary)
