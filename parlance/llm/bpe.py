@@ -1,18 +1,24 @@
-"""Byte-level BPE ids of whole texts, as little-endian unsigned 32-bit integers: those of the ``tokenizers`` library.
+"""Byte-level BPE ids of whole texts, as little-endian unsigned 32-bit integers, all from the ``tokenizers`` library.
 
-The vocabulary comes from a ``tokenizers`` JSON file. In a byte-level vocabulary whose ids follow the merge order the
-id of a token is its merge rank, so the same vocabulary drives ``tiktoken``'s merge loop, which takes a quarter of the
-time. The tests hold the ids against the library's over all code points, fuzzed texts and very long runs. The pattern's
-white-space branch backtracks over a whole run and fails on runs of about a million, so long runs are cut out and encoded
-as the one pre-token that they are.
+The library spends most of its time on words it has encoded before. So a text is cut where the library's pattern always
+ends a pre-token, each different piece is encoded by the library once a worker, and a text's ids are its pieces' ids in
+order. Two kinds of place are such ends, whatever stands around them, since no branch of the pattern holds both
+characters and its only look-ahead asks about white space: before white space that follows anything else, and between an
+ASCII letter or digit and a mark of ``MARKS``.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
+
+from tokenizers import Tokenizer
 
 
 def bytes_of_unicode() -> dict[str, int]:
@@ -28,7 +34,12 @@ def bytes_of_unicode() -> dict[str, int]:
 
 #: White space as the library has it; Python's own class has four control characters more.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LONG_RUN = re.compile(f"[{SPACE}]{{10000,}}")
+MARKS = r""".,;:!?"()"""
+_PIECE = re.compile(f"[{SPACE}]*+(?:[A-Za-z0-9]++(?=[{MARKS}{SPACE}]|\\Z)|[^{SPACE}]+)|[{SPACE}]+")
+#: Characters of texts that are cut at once, and pieces of a longer text.
+GROUP, PART = 250_000, 50_000
+#: Longest piece whose ids are kept.
+KEPT_CHARS = 64
 
 _ASSIGNED: set[str] = set()
 
@@ -43,45 +54,70 @@ def all_assigned(text: str) -> bool:
 
 
 class ByteBpe:
-    """Encoder for one vocabulary file; ``ids(text)`` gives 4 bytes for each id."""
-
-    def __init__(self, path: str):
-        import json
+    """Encoder for one vocabulary file; ``ids(text)`` gives 4 bytes for each id.
 
-        import tiktoken
-        from tokenizers import Tokenizer
+    Keeps the ids of at most ``cap`` pieces of up to ``KEPT_CHARS`` characters; beyond that the older half goes. A file
+    whose pattern, normaliser or special tokens could make a cut unsafe has its texts encoded uncut.
+    """
 
+    def __init__(self, path: str, cap: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"]:
-            raise ValueError("only plain byte-level vocabularies are supported")
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        table = bytes_of_unicode()
-        ranks = {bytes(table[c] for c in token): i for token, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=False).items() if token not in special}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self._core = tiktoken.Encoding("parlance", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self._special_ids = {t: struct.pack("<I", i) for t, i in special.items()}
-        self._marks = tuple(special)
-
-    def _raw(self, text: str) -> bytes:
-        ids, at = [], 0
-        for run in _LONG_RUN.finditer(text) if len(text) >= 10_000 else ():
-            # before a word the last character stands apart: it is the word's space or a pre-token of its own
-            end = run.end() if run.end() == len(text) else run.end() - 1
-            ids += self._core.encode_ordinary(text[at : run.start()])
-            ids += self._core.encode_single_piece(text[run.start() : end].encode())
-            at = end
-        ids += self._core.encode_ordinary(text[at:] if at else text)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self._library = Tokenizer.from_file(path)
+        self._library.no_truncation()
+        self._library.no_padding()
+        split = spec["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+        whole = all(len(_PIECE.findall(t["content"])) == 1 for t in spec["added_tokens"])
+        bare = not any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        self._cut = plain and whole and bare and not spec["normalizer"]
+        self._known: dict[str, bytes] = {}
+        self._cap = cap
+
+    def _library_ids(self, texts: list[str]) -> list[bytes]:
+        found = (e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+    def _encoded(self, lists: list[list[str]]) -> list[bytes]:
+        known = self._known
+        new = list(set().union(*lists).difference(known))
+        known.update(zip(new, self._library_ids(new), strict=True))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del known[p]
+        if len(known) > self._cap:
+            for p in list(islice(known, len(known) - self._cap // 2)):
+                del known[p]
+        return out
+
+    def _long(self, text: str) -> bytes:
+        found, parts = (m[0] for m in _PIECE.finditer(text)), []
+        while pieces := list(islice(found, PART)):
+            parts += self._encoded([pieces])
+        return b"".join(parts)
+
+    def each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text; strings of special tokens become those tokens, as the library does by default."""
+        if not self._cut:
+            yield from (self._library_ids([text])[0] for text in texts)
+            return
+        lists, held = [], 0
+        for text in texts:
+            if lists and held + len(text) > GROUP:
+                yield from self._encoded(lists)
+                lists, held = [], 0
+            if len(text) > GROUP:
+                yield self._long(text)
+            else:
+                lists.append(_PIECE.findall(text))
+                held += len(text)
+        yield from self._encoded(lists)
 
     def ids(self, text: str) -> bytes:
-        """Ids of ``text``; strings of special tokens become those tokens, as the library does by default."""
-        if not text:
-            return b""
-        if self._special and any(mark in text for mark in self._marks):
-            return b"".join(self._special_ids.get(part) or self._raw(part) for part in self._special.split(text) if part)
-        return self._raw(text)
+        """Ids of one text."""
+        return next(self.each([text]))
 
 
 @lru_cache(maxsize=4)

@@ -82,11 +82,11 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS) -> Da
     """Documents cut at multiples of ``max_tokens`` ids: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).ids
+        encode = encoder(vocabulary).each
         for batch in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = memoryview(encode(text or "") + END_ID)
+            for i, found in enumerate(encode(text or "" for text in batch.column(1).to_pylist())):
+                ids = memoryview(found + END_ID)
                 n = len(ids) // 4
                 for at in range(0, n, max_tokens):
                     part = ids[4 * at : 4 * (at + max_tokens)]

@@ -31,11 +31,11 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids): ids of every whole text with the end id 0 after them. Null and empty texts: the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).ids
+        encode = encoder(vocabulary).each
         for batch in batches:
             start, parts, size = 0, [], 0
-            for i, text in enumerate(batch.column(1).to_pylist(), 1):
-                parts.append(encode(text or "") + END_ID)
+            for i, ids in enumerate(encode(text or "" for text in batch.column(1).to_pylist()), 1):
+                parts.append(ids + END_ID)
                 size += len(parts[-1])
                 if size >= _TARGET or i == batch.num_rows:
                     yield pa.record_batch([batch.column(0).slice(start, i - start), _lists(parts)], ["doc_id", "ids"])

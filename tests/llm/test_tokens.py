@@ -1,4 +1,5 @@
 import random
+import tempfile
 import zlib
 from collections import defaultdict
 
@@ -57,6 +58,33 @@ def test_ids_of_long_white_space():
     assert got == encode(BYTE, texts)
 
 
+def test_ids_however_texts_are_grouped():
+    """A cache of a few pieces, a long text between short ones, and a file whose special token may not be cut around."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from parlance.llm.bpe import GROUP, ByteBpe
+
+    r = random.Random(5)
+    words = ["the", "cat.", "Dog's", "(x)", "é.a", "a1!b", "<|endoftext|>", "\n", " ", '"q"', "z" * 70]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 1, 50, GROUP, 3, 200)]
+    expected = [np.array(i, "<u4").tobytes() for i in encode(BYTE, texts)]
+    for cap in (3, 400_000):
+        coder = ByteBpe(vocabulary(BYTE), cap)
+        assert list(coder.each(texts)) == list(coder.each(texts)) == expected
+        assert len(coder._known) <= cap and max(map(len, coder._known)) <= 64
+    assert list(coder.each([])) == []
+    with open(vocabulary(BYTE), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["rstrip"] = True
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        json.dump(spec, f)
+        f.flush()
+        stripped = [e.ids for e in Tokenizer.from_file(f.name).encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in ByteBpe(f.name).each(texts)] == stripped
+
+
 def test_files(spark, table, tmp_path):
     path = f"file://{tmp_path}/ids"
     got = [tuple(r) for r in token_files.token_files(table, vocabulary(BYTE), path).collect()]
