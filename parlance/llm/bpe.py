@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 from tokenizers import Tokenizer
 
 
@@ -36,6 +37,9 @@ def bytes_of_unicode() -> dict[str, int]:
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARKS = r""".,;:!?"()"""
 _PIECE = re.compile(f"[{SPACE}]*+(?:[A-Za-z0-9]++(?=[{MARKS}{SPACE}]|\\Z)|[^{SPACE}]+)|[{SPACE}]+")
+_JOINS = re.compile(f"[{SPACE}].*[^{SPACE}]\\Z", re.DOTALL)
+#: New pieces that the library gets as one text.
+JOINED = 2_000
 #: Characters of texts that are cut at once, and pieces of a longer text.
 GROUP, PART = 250_000, 50_000
 #: Longest piece whose ids are kept.
@@ -60,7 +64,7 @@ class ByteBpe:
     whose pattern, normaliser or special tokens could make a cut unsafe has its texts encoded uncut.
     """
 
-    def __init__(self, path: str, cap: int = 400_000):
+    def __init__(self, path: str, cap: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -72,6 +76,12 @@ class ByteBpe:
         whole = all(len(_PIECE.findall(t["content"])) == 1 for t in spec["added_tokens"])
         bare = not any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
         self._cut = plain and whole and bare and not spec["normalizer"]
+        vocab = self._library.get_vocab(with_added_tokens=True)
+        self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each id's token; in the file a character is a byte
+        for token, i in vocab.items():
+            self._bytes[i] = len(token)
+        for t in spec["added_tokens"]:
+            self._bytes[t["id"]] = len(t["content"].encode())
         self._known: dict[str, bytes] = {}
         self._cap = cap
 
@@ -79,10 +89,29 @@ class ByteBpe:
         found = (e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False))
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
+    def _learn(self, new: list[str]) -> None:
+        """Keep the ids of new pieces. Those from white space to anything else can stand in one text, where each begins
+        at a cut; the bytes that ids stand for tell which piece they belong to."""
+        apart = [p for p in new if not _JOINS.match(p)]
+        self._known.update(zip(apart, self._library_ids(apart), strict=True))
+        joined = [p for p in new if _JOINS.match(p)]
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            raw = self._library_ids(["".join(part)])[0]
+            ends = np.cumsum(self._bytes[np.frombuffer(raw, "<u4")])
+            wanted = np.cumsum([len(p.encode()) for p in part])
+            last = np.searchsorted(ends, wanted)
+            if ends[-1] == wanted[-1] and (ends[last] == wanted).all():
+                stops = ((last + 1) * 4).tolist()
+                found = [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+            else:  # a vocabulary that lacks some bytes
+                found = self._library_ids(part)
+            self._known.update(zip(part, found, strict=True))
+
     def _encoded(self, lists: list[list[str]]) -> list[bytes]:
         known = self._known
         new = list(set().union(*lists).difference(known))
-        known.update(zip(new, self._library_ids(new), strict=True))
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
         for p in new:
             if len(p) > KEPT_CHARS:
