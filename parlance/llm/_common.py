@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 WRITTEN: list[str] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
+def materialise(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, with the writer's ``options``, and read it again.
 
     This cuts lineage and survives the loss of any executor, which a local checkpoint does not. Whoever has written the
     result that was made from it may ``discard`` it.
     """
     path = f"{shared_dir(df.sparkSession)}/parlance-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

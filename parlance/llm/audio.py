@@ -149,13 +149,12 @@ def active_spans(mel: np.ndarray, p: Params) -> list[tuple[int, int]]:
     return segments((energy - energy.mean()) / sd, p.high, p.low) if sd > 1e-9 else []
 
 
-def summary(mel: np.ndarray, p: Params) -> str:
+def summary(mel: np.ndarray, spans: list[tuple[int, int]], parts: int, p: Params) -> str:
     """A short text that depends on every frame and segment."""
-    spans = active_spans(mel, p)
     ms = 1000 * p.hop // p.target_rate
     flat = np.array(spans, np.int64).tobytes()
     mean = np.rint(mel.mean(axis=0, dtype=np.float64) * 100).astype(int)
-    return f"frames={len(mel)};segments={len(spans)};active_ms={ms * sum(b - a for a, b in spans)};spans_crc32={zlib.crc32(flat)};mean_mel_x100={','.join(map(str, mean))}"
+    return f"frames={len(mel)};tensors={parts};segments={len(spans)};active_ms={ms * sum(b - a for a, b in spans)};spans_crc32={zlib.crc32(flat)};mean_mel_x100={','.join(map(str, mean))}"
 
 
 def media_of(docs: DataFrame, rate: int = 16_000) -> DataFrame:
@@ -170,32 +169,33 @@ def media_of(docs: DataFrame, rate: int = 16_000) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def parts_of(mel: np.ndarray, spans: list[tuple[int, int]], p: Params) -> tuple[list[np.ndarray], np.ndarray]:
+    """([part, start_ms, end_ms, active_frames], frames) of the tensors of a recording; the last frame fills the last one up."""
+    active = np.zeros(len(mel) + (-len(mel)) % p.span, np.int64)
+    for a, b in spans:
+        active[a:b] = 1
+    parts = len(active) // p.span
+    full = np.concatenate([mel, np.repeat(mel[-1:], len(active) - len(mel), axis=0)])
+    ms, at = 1000 * p.hop / p.target_rate, np.arange(parts) * p.span
+    return [at // p.span, at * ms, np.minimum(at + p.span, len(mel)) * ms, active.reshape(parts, -1).sum(axis=1)], full
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+
+def _joined(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.array(np.concatenate(arrays) if arrays else [], kind)
+
+
 def tensors(media: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, part, start_ms, end_ms, active_frames, tensor): ``p.span`` frames by ``p.mels`` floats each, row by row.
 
     The last part of a recording is filled up with its last frame; end_ms tells where it really ends. Null media give
     no rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, media in enumerate(batch.column(1).to_pylist()):
-                if media is None:
-                    continue
-                rate, samples = from_wav(media)
-                mel = log_mel(samples, rate, p)
-                active = np.zeros(len(mel) + (-len(mel)) % p.span, np.int64)
-                for a, b in active_spans(mel, p):
-                    active[a:b] = 1
-                parts = len(active) // p.span
-                full = np.concatenate([mel, np.repeat(mel[-1:], len(active) - len(mel), axis=0)])
-                ms, at = 1000 * p.hop / p.target_rate, np.arange(parts) * p.span
-                size = p.span * p.mels
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(parts + 1, dtype=np.int32) * size), pa.array(full.reshape(-1)))
-                columns = [pa.array(at // p.span), pa.array(at * ms), pa.array(np.minimum(at + p.span, len(mel)) * ms), pa.array(active.reshape(parts, -1).sum(axis=1)), lists]
-                yield pa.record_batch([batch.column(0).take(pa.array([i] * parts)), *columns], ["doc_id", "part", "start_ms", "end_ms", "active_frames", "tensor"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, part long, start_ms double, end_ms double, active_frames long, tensor array<float>")
+    made = recordings(media.where("media is not null").select("doc_id", F.lit(0).cast("long").alias("n_bytes"), "media"), p)
+    return made.select("doc_id", F.explode("tensors").alias("t")).select("doc_id", "t.*")
 
 
 def as_tensor_table(table: pa.Table, p: Params = Params()) -> pa.Table:
@@ -207,21 +207,70 @@ def as_tensor_table(table: pa.Table, p: Params = Params()) -> pa.Table:
     return table.set_column(table.column_names.index("tensor"), "tensor", pa.ExtensionArray.from_storage(kind, storage))
 
 
-def features_of(media: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row of
-    ``media_of``'s columns; all but n_bytes comes from the media. Null media raise."""
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+#: How media and tensors are written: zstd, and no dictionaries, which only take room beside floats that hardly repeat.
+_PACKED = {"compression": "zstd", "parquet.enable.dictionary": "false"}
+#: Rows whose tensors are held at once.
+_ROWS = 256
+
+
+def recordings(media: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row of each of ``media_of``'s rows: digests of its bytes, its segments and its tensors with their time spans.
+
+    Segments are (start_ms, end_ms); tensors are the rows of ``tensors``, in order. Null media raise.
+    """
+    ms = 1000 * p.hop / p.target_rate
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(first, _ROWS)
+                rows, spans, parts, frames = [], [], [], []
+                for media in batch.column(2).to_pylist():
+                    rate, samples = from_wav(media)
+                    rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()))
+                    mel = log_mel(samples, rate, p)
+                    spans.append(active_spans(mel, p))
+                    made = parts_of(mel, spans[-1], p)
+                    parts.append(made[0])
+                    frames.append(made[1].reshape(-1))
+                digests = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                edges = np.array([e for own in spans for e in own], np.float64).reshape(-1, 2) * ms
+                segment = pa.StructArray.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["start_ms", "end_ms"])
+                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64())
+                columns = [_joined([own[k] for own in parts], kind) for k, kind in enumerate(kinds)]
+                tensor = _lists([p.span * p.mels] * len(columns[0]), _joined(frames, pa.float32()))
+                part = pa.StructArray.from_arrays([*columns, tensor], ["part", "start_ms", "end_ms", "active_frames", "tensor"])
+                lists = [_lists([len(own) for own in spans], segment), _lists([len(own[0]) for own in parts], part)]
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "segments", "tensors"]
+                yield pa.record_batch([batch.column(0), batch.column(1), *digests, *lists], ["doc_id", "n_bytes", *names])
+
+    made = "segments array<struct<start_ms double, end_ms double>>, tensors array<struct<part long, start_ms double, end_ms double, active_frames long, tensor array<float>>>"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{_DIGESTS}, {made}")
+
+
+def digested(made: DataFrame, p: Params = Params()) -> DataFrame:
+    """The columns of ``recordings`` with ``feature``, made from the segments and tensors, in place of these."""
+    ms = 1000 * p.hop / p.target_rate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for media in batch.column(2).to_pylist():
-                rate, samples = from_wav(media)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), summary(log_mel(samples, rate, p), p)))
-            size, sha, tail, stored, stored_sha, feature = zip(*rows, strict=True) if rows else ((),) * 6
-            made = [pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(tail, pa.int64()), pa.array(stored, pa.int64()), pa.array(stored_sha, pa.string()), pa.array(feature, pa.string())]
-            yield pa.record_batch([batch.column(0), batch.column(1), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            features = []
+            for segments_, tensors_ in zip(batch.column(7), batch.column(8), strict=True):
+                spans = [(round(r["start_ms"] / ms), round(r["end_ms"] / ms)) for r in segments_.as_py()]
+                parts = tensors_.values
+                frames = round(parts.field("end_ms")[-1].as_py() / ms)
+                mel = parts.field("tensor").flatten().to_numpy(zero_copy_only=False).reshape(-1, p.mels)[:frames]
+                features.append(summary(mel, spans, len(parts), p))
+            yield pa.record_batch([*batch.columns[:7], pa.array(features, pa.string())], [*batch.schema.names[:7], "feature"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return made.mapInArrow(run, f"{_DIGESTS}, feature string")
+
+
+def features_of(media: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row of
+    ``media_of``'s columns; all but n_bytes comes from the media, ``feature`` by way of their tensors. Null media raise."""
+    return digested(recordings(media, p), p)
 
 
 def audio_features(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -236,3 +285,10 @@ def audio_features(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def stored_features(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of ``audio_features``, from media written as a table in the shared folder and read back."""
     return features_of(materialise(media_of(docs, p.rate), "media"), p)
+
+
+def stored_recordings(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``recordings`` of every row's text: media are written as a table in the shared folder and read back, and the
+    segments and tensors made of them are written as another, which is the result."""
+    media = materialise(media_of(docs, p.rate), "media", _PACKED)
+    return materialise(recordings(media, p), "tensors", _PACKED)

@@ -38,7 +38,7 @@ def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.stored_features(read_table(spark, sf_dir, "documents"))
+    return audio.digested(audio.stored_recordings(read_table(spark, sf_dir, "documents")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

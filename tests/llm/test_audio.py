@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from parlance.llm import _common, audio
+from parlance.llm import _common, audio, queries
 
 
 @pytest.fixture(scope="module", params=["documents", "edge"])
@@ -92,6 +92,32 @@ def test_stored_features_come_from_the_written_media(spark, table):
     assert sorted(hashlib.sha256(r["media"]).hexdigest() for r in spark.read.parquet(path).collect()) == sorted(r["media_sha256"] for r in found)
 
 
+def test_features_come_from_written_tensors(spark, table):
+    p, first = audio.Params(), len(_common.WRITTEN)
+    made = audio.stored_recordings(table, p)
+    media, tensors = _common.WRITTEN[first:]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["media_sha256"])
+    found = {key(r): r["feature"] for r in audio.digested(made, p).collect()}
+    assert found == {key(r): r["feature"] for r in audio.audio_features(table, p).collect()}
+    stored = {hashlib.sha256(r["media"]).hexdigest(): r["media"] for r in spark.read.parquet(media).collect()}
+    for r in spark.read.parquet(tensors).collect():
+        rate, samples = audio.from_wav(stored[r["media_sha256"]])
+        mel = audio.log_mel(samples, rate, p)
+        assert [t["part"] for t in r["tensors"]] == list(range(-(-len(mel) // p.span))) and r["tensors"][-1]["end_ms"] == 10.0 * len(mel)
+        assert all(len(t["tensor"]) == p.span * p.mels for t in r["tensors"])
+        assert np.array_equal(np.concatenate([t["tensor"] for t in r["tensors"]]).reshape(-1, p.mels)[: len(mel)].astype(np.float32), mel)
+        assert [(x["start_ms"], x["end_ms"]) for x in r["segments"]] == [(10.0 * a, 10.0 * b) for a, b in audio.active_spans(mel, p)]
+        mean = np.rint(mel.mean(axis=0, dtype=np.float64) * 100).astype(int)
+        assert found[key(r)].startswith(f"frames={len(mel)};tensors={len(r['tensors'])};") and found[key(r)].endswith("=" + ",".join(map(str, mean)))
+
+
+def test_the_query_writes_tensors(spark, sf):
+    first = len(_common.WRITTEN)
+    queries.op6_audio_features(spark, sf).count()
+    assert "tensors" in spark.read.parquet(_common.WRITTEN[first:][-1]).columns
+
+
 def test_empty(empty):
+    assert audio.digested(audio.stored_recordings(empty)).count() == 0
     assert audio.stored_features(empty).count() == 0
     assert audio.audio_features(empty).count() == 0
