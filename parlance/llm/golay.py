@@ -65,3 +65,34 @@ def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows.append(row)
         out.append(np.int64(s) << 40 | parts[s][row] << 12 | key)
     return np.concatenate(rows), np.concatenate(out)
+
+
+@lru_cache(maxsize=1)
+def code_words() -> np.ndarray:
+    """All 4,096 code words, a column each, as signs."""
+    words = np.arange(1 << (BITS - CHECK_BITS), dtype=np.int64) << CHECK_BITS
+    words ^= syndrome(words)
+    return np.ascontiguousarray(((words >> np.arange(BITS)[:, None] & 1) * 2 - 1).astype(np.float32))
+
+
+def likeliest(margins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, agreement) of the ``n`` code words that agree best with each row of 23 margins, best first.
+
+    A margin is how far a bit is from changing, its sign is the bit: a doubtful bit costs a code word little.
+    """
+    score = margins.astype(np.float32) @ code_words()
+    rows = np.arange(len(score))
+    index, agreement = np.empty((len(score), n), np.int64), np.empty((len(score), n), np.float32)
+    for k in range(n):
+        best = score.argmax(axis=1)
+        index[:, k], agreement[:, k] = best, score[rows, best]
+        score[rows, best] = -np.inf
+    return index, agreement
+
+
+def soft_keys(margins: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` likeliest pairs of code words of each row of two segments' margins (rows, 2, 23), as 24-bit numbers."""
+    index, agreement = (x.reshape(-1, 2, n) for x in likeliest(margins.reshape(-1, BITS), n))
+    i, j = np.array([(i, j) for i in range(n) for j in range(n) if (i + 1) * (j + 1) <= n]).T
+    order = np.argsort(-(agreement[:, 0, i] + agreement[:, 1, j]), axis=1, kind="stable")[:, :n]
+    return np.take_along_axis(index[:, 0, i] << 12 | index[:, 1, j], order, axis=1)

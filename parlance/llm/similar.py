@@ -1,12 +1,16 @@
-"""Groups of near copies: MinHash bands find candidates, the true Jaccard similarity of their word shingles decides.
-
-At a similarity of 0.8 two 64-bit SimHash values differ in about ten bits, more than Golay keys can bridge and stay
-selective. A pair at 0.8 meets in one of 24 bands of 6 values with probability 1 - (1 - 0.8^6)^24 = 0.9993.
-
-Pairs are looked at closely only where the signatures agree enough: the share of equal values among 144 has a standard
-deviation of 0.033 at 0.8, so a limit four deviations below loses one such pair in 30,000. In crowded buckets, sketches of
-the 512 least shingle hashes come next. They are the whole set of nearly all texts, whose similarity they give; of longer
-texts they estimate it, with the same four deviations. Texts decide about the pairs that are left.
+"""Groups of near copies: SimHash values and Golay keys find candidates, the true Jaccard similarity of shingles decides.
+
+At a similarity of 0.8 some 15 % of the bits of two SimHash values differ, too many for the keys of ``golay.fuzzy_keys``,
+which take each bit for as sure as any other. But a bit is a majority, and those that differ are those that were nearly
+even. So a set has a SimHash of 576 bits with their margins, and Golay keys are decoded softly: of each of 12 tables of
+two segments of 23 bits, the six pairs of code words that agree best with the margins are keys. ``SIZE`` classes narrow
+buckets and lose nothing, since at 0.8 the larger of two sets is at most 1.25 times the smaller. Measured shares of
+pairs at 0.8 that meet are in the README and in the tests.
+
+Pairs are looked at closely only where their SimHash values differ in at most a quarter of the bits: four deviations
+beyond what is expected at 0.8, even for the smallest sets (0.19 at four and five shingles, 0.15 for large ones). In
+crowded buckets, sketches of the 512 least shingle hashes come next. They are the whole set of nearly all texts, whose
+similarity they give; of longer texts they estimate it, with four deviations. Texts decide about the pairs that are left.
 """
 
 from __future__ import annotations
@@ -19,18 +23,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm import golay
 from parlance.llm._common import HOT_TEXTS, materialise, spread_join
 from parlance.llm.components import connected_components
 from parlance.llm.simhash import least_ids
 
-SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 6, 31
-#: Least share of equal signature values (lowest bytes, which agree by chance once in 256) of a pair worth comparing.
-AGREED = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
+SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 31
+#: Tables of two segments, keys of a table, and 64-bit words of a SimHash value that holds all segments.
+TABLES, KEYS, WORDS = 12, 6, 9
+#: Most bits in which the values of a pair worth comparing differ.
+FAR = WORDS * 64 // 4
+#: Sets of fewer shingles are not similar to any other set, as 4 of 5 are the fewest at 0.8.
+LEAST = 4
 #: Shingle hashes of a sketch.
 SKETCH = 512
 #: Rows of a block in which signatures meet each other, and of a block of those that are in the leader's group.
 BLOCK, LED = 1024, 4096
 _CHUNK = 1 << 12
+#: Texts whose keys are decoded at once, 98,304 scores of 4 bytes each.
+_DECODED = 32
 
 
 def shingles(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -51,31 +62,51 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-@lru_cache(maxsize=1)
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(SEED)
-    return r.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1), r.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` independent 64-bit words of each hash (the finaliser of SplitMix64)."""
+    z = hashes[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of ``BANDS * ROWS`` hash functions."""
-    a, b = _factors()
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def margins(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of a SimHash value, how many more of the hashes have it set than not."""
+    ones = np.zeros(WORDS * 64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        least = np.minimum(least, (hashes[at : at + _CHUNK, None] * a + b).min(axis=0))
-    return least
+        bits = np.unpackbits(_mixed(hashes[at : at + _CHUNK]).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # sums of 255 fit in a byte
+            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return 2 * ones - len(hashes)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One signed 64-bit key for each band of a signature; the key of a band depends on its number."""
-    import xxhash
+def value(found: np.ndarray) -> bytes:
+    """The SimHash value of margins."""
+    return np.packbits(found > 0, bitorder="little").tobytes()
+
+
+def table_keys(found: np.ndarray) -> np.ndarray:
+    """``TABLES * KEYS`` Golay keys of 24 bits of each row of margins, table by table."""
+    cut = found[:, : TABLES * 2 * golay.BITS].reshape(-1, 2, golay.BITS)
+    return golay.soft_keys(cut, KEYS).reshape(len(found), TABLES * KEYS).astype(np.int32)
+
 
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def bucket_keys(reps: DataFrame) -> DataFrame:
+    """(s, key) of every set: its size's class, the table and the table's key. A set is also in the class that sets 1.25
+    times as large begin to be in, so that of two similar sets the smaller is in the larger one's class."""
+    classes = F.expr("array_distinct(array(cast(length(bin(size)) as bigint), cast(length(bin(size * 5L div 4)) as bigint)))")
+    rows = reps.where(F.col("size") >= LEAST).select("s", "keys", F.explode(classes).alias("class"))
+    rows = rows.select("s", "class", F.posexplode("keys").alias("i", "code"))
+    return rows.select("s", F.expr(f"shiftleft(class, 28) | shiftleft(i div {KEYS}, 24) | code").alias("key"))
 
 
-def short_form(least: np.ndarray) -> bytes:
-    """A byte of each value, mixed so that all of its bits count."""
-    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+_TABLE = np.repeat(np.arange(TABLES, dtype=np.int64), KEYS) << 24
+
+
+def first_shared(keys_a: np.ndarray, keys_b: np.ndarray, size_a: int, size_b: int) -> int:
+    """The least of the bucket keys that two similar sets share, -1 if none."""
+    both = np.intersect1d(keys_a | _TABLE, keys_b | _TABLE)
+    return max(size_a, size_b).bit_length() << 28 | int(both[0]) if len(both) else -1
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -111,52 +142,55 @@ def sketches(texts: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, t: hash of the text, s: hash of its shingle set, keys, sig: short signature) of every row."""
+    """(doc_id, t: hash of the text, s: hash of its shingle set, size, keys of all tables, sig: SimHash value) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            sets, keys, short = [], [], []
-            for found in map(shingles, texts_in(batch.column(2))):
-                least = signature(found)
-                sets.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                keys.append(band_keys(least))
-                short.append(short_form(least))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-            made = [pa.array(np.array(sets, np.uint64).view(np.int64)), lists, pa.array(short, pa.binary())]
-            yield pa.record_batch([batch.column(0), batch.column(1), *made], ["doc_id", "t", "s", "keys", "sig"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _DECODED):
+                batch = whole.slice(at, _DECODED)
+                sets, sizes, found = [], [], []
+                for hashes in map(shingles, texts_in(batch.column(2))):
+                    sets.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                    sizes.append(len(hashes))
+                    found.append(margins(hashes))
+                flat = pa.array(table_keys(np.array(found)).reshape(-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * TABLES * KEYS), flat)
+                made = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(map(value, found), pa.binary())]
+                yield pa.record_batch([batch.column(0), batch.column(1), *made], ["doc_id", "t", "s", "size", "keys", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
-    return rows.mapInArrow(run, "doc_id long, t long, s long, keys array<long>, sig binary")
+    return rows.mapInArrow(run, "doc_id long, t long, s long, size int, keys array<int>, sig binary")
+
+
+def _words(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint64).reshape(-1, WORDS)
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose short signatures sig_a and sig_b agree enough."""
+    """Those pairs (a, b) whose SimHash values sig_a and sig_b differ in few enough bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in batch.columns[2:])
-            good = pa.array((x == y).mean(axis=1) >= AGREED)
+            x, y = (_words(c.to_pylist()) for c in batch.columns[2:])
+            good = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= FAR)
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def across(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) that look similar enough and join what nothing joined before, of rows (band, rows, i, j).
+    """Pairs (a, b) that look similar enough and join what nothing joined before, of rows (key, rows, i, j).
 
-    ``rows`` has s, part, blk, keys, sig and sk. Blocks i and j of a group meet, a block with itself if they are one. A
-    pair counts in the first band that it shares. Pairs told by whole sets join their parts here at once, so of a
+    ``rows`` has s, part, blk, size, keys, sig and sk. Blocks i and j of a group meet, a block with itself if they are
+    one. A pair counts in the first bucket that it shares. Pairs told by whole sets join their parts here at once, so of a
     group of near copies no more pairs are given than it has parts; pairs told by estimates are all given.
     """
-    width = BANDS * ROWS
 
-    def meet(band: int, rows: dict[str, list], i: int, j: int) -> Iterator[tuple[int, int]]:
+    def meet(key: int, rows: dict[str, list], i: int, j: int) -> Iterator[tuple[int, int]]:
         s, blk = np.array(rows["s"], np.int64), np.array(rows["blk"], np.int64)
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, width)
-        keys = np.array(rows["keys"], np.int64)
+        sig, keys, size = _words(rows["sig"]), np.array(rows["keys"], np.int64), rows["size"]
         up = {p: p for p in rows["part"]}
         part = rows["part"]
 
@@ -168,15 +202,16 @@ def across(groups: DataFrame) -> DataFrame:
         left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
         for at in range(0, len(left), 32):
             r = left[at : at + 32]
-            same = (sig[r][:, None, :] == sig[right][None, :, :]).sum(axis=2, dtype=np.uint16)
-            x, y = np.nonzero(same >= AGREED * width)
+            apart = np.zeros((len(r), len(right)), np.uint16)
+            for w in range(WORDS):
+                apart += np.bitwise_count(sig[r, w][:, None] ^ sig[right, w][None, :])
+            x, y = np.nonzero(apart <= FAR)
             x, y = r[x], right[y]
             if i == j:
                 x, y = x[x < y], y[x < y]
-            first = (keys[x] == keys[y]).argmax(axis=1) == band
-            for a, b in zip(x[first].tolist(), y[first].tolist(), strict=True):
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
                 p, q = top(part[a]), top(part[b])
-                if p == q:
+                if p == q or first_shared(keys[a], keys[b], size[a], size[b]) != key:
                     continue
                 near, whole = sketched(np.frombuffer(rows["sk"][a], np.uint32), np.frombuffer(rows["sk"][b], np.uint32))
                 if near >= (SIMILARITY if whole else SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / SKETCH) ** 0.5):
@@ -188,9 +223,9 @@ def across(groups: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for n in range(batch.num_rows):
-                row = {c: batch.column(c)[n].values if c == "rows" else batch.column(c)[n].as_py() for c in ("band", "rows", "i", "j")}
+                row = {c: batch.column(c)[n].values if c == "rows" else batch.column(c)[n].as_py() for c in ("key", "rows", "i", "j")}
                 rows = {f.name: row["rows"].field(f.name).to_pylist() for f in row["rows"].type}
-                found += meet(row["band"], rows, row["i"], row["j"])
+                found += meet(row["key"], rows, row["i"], row["j"])
             a, b = (np.array(v, np.int64) for v in (zip(*found, strict=True) if found else ((), ())))
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -198,7 +233,7 @@ def across(groups: DataFrame) -> DataFrame:
 
 
 def blocks(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Groups of bounded size in which all members (key, band, s, part, led) of a bucket meet that could be joined.
+    """Groups of bounded size in which all members (key, s, part, led) of a bucket meet that could be joined.
 
     Members in the leader's part need not meet each other. The others are dealt into blocks by hash; each two blocks
     meet, and each block meets the leader's part a block at a time. What a member is compared by joins it last.
@@ -209,12 +244,12 @@ def blocks(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("blk", F.when(F.col("led"), -1 - F.pmod(F.xxhash64("s"), "bl")).otherwise(F.pmod(F.xxhash64("s"), "bo")).cast("int"))
     met = """if(led, transform(sequence(0, bo - 1), i -> named_struct('i', i, 'j', blk)),
         concat(transform(sequence(0, bo - 1), j -> named_struct('i', least(blk, j), 'j', greatest(blk, j))), transform(sequence(1, bl), j -> named_struct('i', blk, 'j', -j))))"""
-    dealt = dealt.select("key", "band", "s", "part", "blk", F.explode(F.expr(met)).alias("at"))
+    dealt = dealt.select("key", "s", "part", "blk", F.explode(F.expr(met)).alias("at"))
     needed = materialise(dealt.select("s").distinct(), "block-sets")
-    shown = materialise(sketches(texts.join(needed, "s", "left_semi")).join(reps.select("s", "keys", "sig"), "s"), "sketches")
+    shown = materialise(sketches(texts.join(needed, "s", "left_semi")).join(reps.select("s", "size", "keys", "sig"), "s"), "sketches")
     full = dealt.join(shown, "s")
-    lists = full.groupBy("key", "band", "at").agg(F.collect_list(F.struct("s", "part", "blk", "keys", "sig", "sk")).alias("rows"))
-    return lists.select("band", "rows", "at.i", "at.j")
+    lists = full.groupBy("key", "at").agg(F.collect_list(F.struct("s", "part", "blk", "size", "keys", "sig", "sk")).alias("rows"))
+    return lists.select("key", "rows", "at.i", "at.j")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -236,15 +271,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest doc_id that links of similarity 0.8 or more reach.
 
     Texts with one shingle set (copies, other case or white space, all texts without a word) are one node. Nodes that
-    share a band meet in its bucket: first each with the bucket's leader, so that a large group of near copies takes
+    share a key meet in its bucket: first each with the bucket's leader, so that a large group of near copies takes
     about as many comparisons as it has members; then, in blocks, all that are not yet in one part.
     """
     prints = materialise(signatures(docs), "signatures")
-    columns = [F.first(c).alias(c) for c in ("keys", "sig")]
+    columns = [F.first(c).alias(c) for c in ("size", "keys", "sig")]
     reps = materialise(prints.groupBy("s").agg(F.min("doc_id").alias("first_id"), F.min("t").alias("t"), *columns, F.count("*").alias("n")), "shingle-sets")
-    keyed = reps.select("s", F.posexplode("keys").alias("band", "key"))
-    buckets = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("lead")).where("n > 1"), "bands")
-    members = materialise(spread_join(keyed, buckets, "key", buckets.select("key", "n")), "shared-bands")
+    keyed = bucket_keys(reps)
+    buckets = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("lead")).where("n > 1"), "golay-buckets")
+    members = materialise(spread_join(keyed, buckets, "key", buckets.select("key", "n")), "golay-shared")
     sigs = reps.select("s", "sig")
     star = materialise(members.where("s <> lead").select("s", "lead").distinct().join(sigs, "s"), "stars")
     star = spread_join(star.toDF("b", "a", "sig_b"), sigs.toDF("a", "sig_a"), "a")
@@ -256,7 +291,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     parts = materialise(connected_components(links), "components")
     named = spread_join(members.where("n > 2").drop("n"), parts.toDF("s", "p1"), "s", how="left")
     named = spread_join(materialise(named, "bucket-parts"), parts.toDF("lead", "p2"), "lead", how="left")
-    named = named.select("key", "band", "s", F.coalesce("p1", "s").alias("part"), F.coalesce("p2", "lead").alias("lead_part"))
+    named = named.select("key", "s", F.coalesce("p1", "s").alias("part"), F.coalesce("p2", "lead").alias("lead_part"))
     named = materialise(named.withColumn("led", F.col("part") == F.col("lead_part")).drop("lead_part"), "bucket-parts")
     met = materialise(across(blocks(named, reps, texts)).distinct(), "candidates")
     links = links.unionByName(verified(met, texts))

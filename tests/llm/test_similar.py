@@ -2,8 +2,10 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from conftest import WORDS
-from parlance.llm import similar, simhash
+from parlance.llm import _common, golay, similar, simhash
 from test_simhash import components
 
 
@@ -59,3 +61,49 @@ def test_edges(edge, empty):
         by.setdefault(r["doc_id"], set()).add(r["component_id"])
     assert len(rows) == edge.count() and similar.near_copies(empty).count() == 0
     assert by[1] == by[2] == by[3] == {1} and by[4] == by[5] == by[6] == {4} and by[7] == {7}
+
+
+def test_values_are_majorities_of_bits():
+    hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 700, np.uint64))
+    bits = [[int(w) >> b & 1 for w in row for b in range(64)] for row in similar._mixed(hashes)]
+    found = similar.margins(hashes)
+    assert found.tolist() == [2 * sum(c) - len(hashes) for c in zip(*bits, strict=True)]
+    assert int.from_bytes(similar.value(found), "little") == sum(1 << i for i, m in enumerate(found) if m > 0)
+
+
+def test_soft_keys_are_the_best_pairs_of_code_words():
+    margins = np.random.default_rng(2).normal(size=(20, 2, golay.BITS)).astype(np.float32)
+    for row, found in zip(margins, golay.soft_keys(margins, 6), strict=True):
+        one, two = (m @ golay.code_words() for m in row)
+        best = sorted(((one[i] + two[j], i << 12 | j) for i in np.argsort(-one)[:40] for j in np.argsort(-two)[:40]), reverse=True)[:6]
+        assert found.tolist() == [k for _, k in best]
+    for word in golay.code_words().T[[0, 5, 4095]]:  # sure of 16 bits of a code word, in doubt of seven wrong ones
+        assert (golay.likeliest(np.where(np.arange(23) < 7, -0.1, 1) * word[None, :], 1)[0][0, 0] << 11 ^ sum(1 << i for i in range(23) if word[i] > 0)) < 1 << 11
+
+
+@pytest.mark.parametrize(("shared", "a", "b"), [(4, 0, 1), (8, 1, 1), (16, 0, 4), (40, 5, 5), (80, 0, 20), (400, 50, 50)])
+def test_pairs_at_the_limit_meet(shared, a, b):
+    r, n = np.random.default_rng(shared), 1000
+    sets = [r.integers(0, 1 << 63, shared + a + b, np.uint64) for _ in range(n)]
+    x, y = (np.array([similar.margins(h) for h in part]) for part in ([h[: shared + a] for h in sets], [np.delete(h, np.s_[shared : shared + a]) for h in sets]))
+    keys = [similar.table_keys(m).astype(np.int64) for m in (x, y)]
+    met = [similar.first_shared(*k, shared + a, shared + b) >= 0 for k in zip(*keys, strict=True)]
+    near = ((x > 0) != (y > 0)).sum(axis=1) <= similar.FAR
+    assert np.mean(met & near) >= 0.996
+
+
+def test_bucket_keys(spark, documents):
+    rows = similar.signatures(documents.limit(50)).dropDuplicates(["s"]).cache()
+    found = {}
+    for r in similar.bucket_keys(rows).collect():
+        found.setdefault(r["s"], set()).add(r["key"])
+    sized = {r["s"]: (r["size"], r["keys"]) for r in rows.collect()}
+    classes = lambda n: {n.bit_length(), (n * 5 // 4).bit_length()}
+    assert found == {s: {c << 28 | k // similar.KEYS << 24 | code for c in classes(n) for k, code in enumerate(keys)} for s, (n, keys) in sized.items() if n >= similar.LEAST}
+
+
+def test_the_stage_goes_through_golay_keys(spark, sf):
+    first = len(_common.WRITTEN)
+    docs = spark.createDataFrame(made()[:40], "doc_id long, text string")
+    corpus_pipeline.drop_near_duplicates(spark, docs, sf).count()
+    assert any("golay-buckets" in path for path in _common.WRITTEN[first:])
