@@ -37,7 +37,7 @@ FAR = WORDS * 64 // 4
 LEAST = 4
 #: Shingle hashes of a sketch.
 SKETCH = 512
-#: Rows of a block in which signatures meet each other, and of a block of those that are in the leader's group.
+#: Rows of a block in which signatures meet each other, and of a block of those that are in the leading part.
 BLOCK, LED = 1024, 4096
 _CHUNK = 1 << 12
 #: Texts whose keys are decoded at once, 98,304 scores of 4 bytes each.
@@ -168,16 +168,16 @@ def _words(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint64).reshape(-1, WORDS)
 
 
-def agreeing(pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose SimHash values sig_a and sig_b differ in few enough bits."""
+def measured(pairs: DataFrame) -> DataFrame:
+    """(a, b, apart: bits in which the SimHash values sig_a and sig_b differ) of every pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (_words(c.to_pylist()) for c in batch.columns[2:])
-            good = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= FAR)
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
+            apart = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32))
+            yield pa.record_batch([batch.column(0), batch.column(1), apart], ["a", "b", "apart"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, apart int")
 
 
 def across(groups: DataFrame) -> DataFrame:
@@ -232,18 +232,45 @@ def across(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def led_by_most(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Members (key, s, part) of buckets with led: are they in the part that has most members in the bucket, and apart:
+    their distance to that part's least member there."""
+    held = materialise(members.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("s").alias("ref")), "bucket-part-sizes")
+    most = held.groupBy("key").agg(F.max(F.struct("n", "part", "ref")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    most = materialise(most.where("parts > 1").select("key", F.col("most.part").alias("main"), F.col("most.ref").alias("ref"), "n"), "bucket-most")
+    named = materialise(spread_join(members, most.drop("n"), "key", most.select("key", "n")), "bucket-members")
+    pairs = materialise(named.where("s <> ref").select("s", "ref").distinct().join(sigs, "s"), "stars")
+    pairs = spread_join(pairs.toDF("b", "a", "sig_b"), sigs.toDF("a", "sig_a"), "a")
+    apart = measured(pairs).toDF("ref", "s", "apart")
+    named = named.join(apart, ["ref", "s"], "left").fillna(0, ["apart"])
+    return named.select("key", "s", "part", (F.col("part") == F.col("main")).alias("led"), "apart")
+
+
+def in_reach(members: DataFrame) -> DataFrame:
+    """Those members (key, s, part, led, apart) of buckets that could be near one that is not in the leading part.
+
+    ``apart`` is the distance to a member of that part. By the triangle inequality two members are at least as far apart as these
+    distances differ, so a stranger that chance put in a bucket meets none of a large group of near copies.
+    """
+    other = lambda c: F.when(~F.col("led"), F.col(c))
+    ranges = members.groupBy("key").agg(F.min(other("apart")).alias("low"), F.max(other("apart")).alias("high"), F.count("*").alias("n"))
+    ranges = materialise(ranges.where("low is not null"), "bucket-ranges")
+    found = spread_join(members, ranges.drop("n"), "key", ranges.select("key", "n"))
+    return found.where(f"not led or apart between low - {FAR} and high + {FAR}").drop("low", "high", "apart")
+
+
 def blocks(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Groups of bounded size in which all members (key, s, part, led) of a bucket meet that could be joined.
 
-    Members in the leader's part need not meet each other. The others are dealt into blocks by hash; each two blocks
-    meet, and each block meets the leader's part a block at a time. What a member is compared by joins it last.
+    Members in the leading part need not meet each other. The others are dealt into blocks by hash; each two blocks
+    meet, and each block meets the leading part a block at a time. What a member is compared by joins it last.
     """
-    sizes = members.groupBy("key").agg(F.count_if(~F.col("led")).alias("others"), F.count_if("led").alias("leds")).where("others > 0")
+    sizes = members.groupBy("key").agg(F.count_if(~F.col("led")).alias("others"), F.count_if("led").alias("leds")).where("others > 1 or others = 1 and leds > 0")
     sizes = materialise(sizes.select("key", F.ceil(F.col("others") / BLOCK).cast("int").alias("bo"), F.ceil(F.col("leds") / LED).cast("int").alias("bl"), (F.col("others") + F.col("leds")).alias("n")), "bucket-sizes")
     dealt = spread_join(members, sizes.drop("n"), "key", sizes.select("key", "n"))
     dealt = dealt.withColumn("blk", F.when(F.col("led"), -1 - F.pmod(F.xxhash64("s"), "bl")).otherwise(F.pmod(F.xxhash64("s"), "bo")).cast("int"))
     met = """if(led, transform(sequence(0, bo - 1), i -> named_struct('i', i, 'j', blk)),
-        concat(transform(sequence(0, bo - 1), j -> named_struct('i', least(blk, j), 'j', greatest(blk, j))), transform(sequence(1, bl), j -> named_struct('i', blk, 'j', -j))))"""
+        concat(transform(sequence(0, bo - 1), j -> named_struct('i', least(blk, j), 'j', greatest(blk, j))), transform(filter(sequence(1, greatest(bl, 1)), j -> j <= bl), j -> named_struct('i', blk, 'j', -j))))"""
     dealt = dealt.select("key", "s", "part", "blk", F.explode(F.expr(met)).alias("at"))
     needed = materialise(dealt.select("s").distinct(), "block-sets")
     shown = materialise(sketches(texts.join(needed, "s", "left_semi")).join(reps.select("s", "size", "keys", "sig"), "s"), "sketches")
@@ -272,7 +299,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Texts with one shingle set (copies, other case or white space, all texts without a word) are one node. Nodes that
     share a key meet in its bucket: first each with the bucket's leader, so that a large group of near copies takes
-    about as many comparisons as it has members; then, in blocks, all that are not yet in one part.
+    about as many comparisons as it has members; then, in blocks, those outside the part that leads by then meet all that
+    may be near them.
     """
     prints = materialise(signatures(docs), "signatures")
     columns = [F.first(c).alias(c) for c in ("size", "keys", "sig")]
@@ -287,12 +315,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = materialise(nodes, "candidate-sets")
     texts = docs.select(F.xxhash64("text").alias("t"), "text").join(nodes, "t").dropDuplicates(["s"]).select("s", "text")
     texts = materialise(texts, "candidate-texts")
-    links = verified(materialise(agreeing(star), "candidates"), texts)
+    near = materialise(measured(star).where(F.col("apart") <= FAR).select("a", "b"), "candidates")
+    links = verified(near, texts)
     parts = materialise(connected_components(links), "components")
-    named = spread_join(members.where("n > 2").drop("n"), parts.toDF("s", "p1"), "s", how="left")
-    named = spread_join(materialise(named, "bucket-parts"), parts.toDF("lead", "p2"), "lead", how="left")
-    named = named.select("key", "s", F.coalesce("p1", "s").alias("part"), F.coalesce("p2", "lead").alias("lead_part"))
-    named = materialise(named.withColumn("led", F.col("part") == F.col("lead_part")).drop("lead_part"), "bucket-parts")
+    named = spread_join(members.where("n > 2").select("key", "s"), parts.toDF("s", "part"), "s", how="left")
+    named = materialise(named.withColumn("part", F.coalesce("part", "s")), "bucket-parts")
+    named = materialise(led_by_most(named, sigs), "bucket-leaders")
+    named = materialise(in_reach(named), "bucket-meetings")
     met = materialise(across(blocks(named, reps, texts)).distinct(), "candidates")
     links = links.unionByName(verified(met, texts))
     parts = materialise(connected_components(links), "components")
