@@ -107,3 +107,15 @@ def test_the_stage_goes_through_golay_keys(spark, sf):
     docs = spark.createDataFrame(made()[:40], "doc_id long, text string")
     corpus_pipeline.drop_near_duplicates(spark, docs, sf).count()
     assert any("golay-buckets" in path for path in _common.WRITTEN[first:])
+
+
+def test_a_stranger_meets_no_large_group(spark):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 256, similar.WORDS * 8, np.uint8)
+    group = [(1, s, 10, bytes(base ^ (np.arange(len(base)) == s % len(base)))) for s in range(100, 150)]
+    near, far = (1, 5, 5, bytes(base)), (2, 6, 6, bytes(~base))
+    rows = [*group, near, *((2, *x[1:]) for x in group), far]  # the strangers' ids are the least of their buckets
+    sigs = spark.createDataFrame(sorted({(x[1], x[3]) for x in rows}), "s long, sig binary")
+    members = spark.createDataFrame([x[:3] for x in rows], "key long, s long, part long")
+    found = similar.in_reach(_common.materialise(similar.led_by_most(members, sigs), "led")).collect()
+    assert sorted((x["key"], x["s"], x["led"]) for x in found) == [(1, 5, False), *((1, s, True) for s in range(100, 150)), (2, 6, False)]
