@@ -37,6 +37,8 @@ FAR = WORDS * 64 // 4
 LEAST = 4
 #: Shingle hashes of a sketch.
 SKETCH = 512
+#: Members of a bucket's leading part from which on the distance to that part tells who may be near whom.
+CROWD = 32
 #: Rows of a block in which signatures meet each other, and of a block of those that are in the leading part.
 BLOCK, LED = 1024, 4096
 _CHUNK = 1 << 12
@@ -109,6 +111,17 @@ def first_shared(keys_a: np.ndarray, keys_b: np.ndarray, size_a: int, size_b: in
     return max(size_a, size_b).bit_length() << 28 | int(both[0]) if len(both) else -1
 
 
+def first_here(key: int, keys_a: np.ndarray, keys_b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each pair of rows of keys, is ``key`` what ``first_shared`` gives? ``sizes`` are those of the larger sets."""
+    table, code = key >> 24 & 15, key & 0xFFFFFF
+    good = np.flatnonzero(np.frexp(sizes)[1] == key >> 28)
+    for k in range(table + 1):
+        x, y = (v[good, k * KEYS : (k + 1) * KEYS] for v in (keys_a, keys_b))
+        least = np.where((x[:, :, None] == y[:, None, :]).any(axis=2), x, 1 << 24).min(axis=1, initial=1 << 24)
+        good = good[least == (code if k == table else 1 << 24)]
+    return good
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     """The least ``SKETCH`` of the low halves of hashes, sorted."""
     return np.unique(hashes.astype(np.uint32))[:SKETCH].tobytes()
@@ -190,9 +203,9 @@ def across(groups: DataFrame) -> DataFrame:
 
     def meet(key: int, rows: dict[str, list], i: int, j: int) -> Iterator[tuple[int, int]]:
         s, blk = np.array(rows["s"], np.int64), np.array(rows["blk"], np.int64)
-        sig, keys, size = _words(rows["sig"]), np.array(rows["keys"], np.int64), rows["size"]
+        sig, keys, size = _words(rows["sig"]), np.array(rows["keys"], np.int32), np.array(rows["size"], np.int64)
         up = {p: p for p in rows["part"]}
-        part = rows["part"]
+        part, parts = rows["part"], np.array(rows["part"], np.int64)
 
         def top(p: int) -> int:
             while up[p] != p:
@@ -200,8 +213,8 @@ def across(groups: DataFrame) -> DataFrame:
             return p
 
         left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        for at in range(0, len(left), 32):
-            r = left[at : at + 32]
+        for at in range(0, len(left), 8):
+            r = left[at : at + 8]
             apart = np.zeros((len(r), len(right)), np.uint16)
             for w in range(WORDS):
                 apart += np.bitwise_count(sig[r, w][:, None] ^ sig[right, w][None, :])
@@ -209,9 +222,12 @@ def across(groups: DataFrame) -> DataFrame:
             x, y = r[x], right[y]
             if i == j:
                 x, y = x[x < y], y[x < y]
-            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            apart_yet = parts[x] != parts[y]
+            x, y = x[apart_yet], y[apart_yet]
+            here = first_here(key, keys[x], keys[y], np.maximum(size[x], size[y]))
+            for a, b in zip(x[here].tolist(), y[here].tolist(), strict=True):
                 p, q = top(part[a]), top(part[b])
-                if p == q or first_shared(keys[a], keys[b], size[a], size[b]) != key:
+                if p == q:
                     continue
                 near, whole = sketched(np.frombuffer(rows["sk"][a], np.uint32), np.frombuffer(rows["sk"][b], np.uint32))
                 if near >= (SIMILARITY if whole else SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / SKETCH) ** 0.5):
@@ -232,17 +248,28 @@ def across(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def leaders(members: DataFrame) -> DataFrame:
+    """The distinct pairs (s, lead) of members (s, n, lead) of buckets that are looked at one by one: of each set the
+    leader of its most crowded bucket, and the other one of each bucket of two. In larger buckets all meet later."""
+    two = F.collect_set(F.when(F.col("n") == 2, F.col("lead")))
+    led = members.where("s <> lead").groupBy("s").agg(F.max(F.struct("n", "lead")).alias("most"), two.alias("two"))
+    return led.select("s", F.explode(F.array_union(F.array("most.lead"), "two")).alias("lead"))
+
+
 def led_by_most(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Members (key, s, part) of buckets with led: are they in the part that has most members in the bucket, and apart:
-    their distance to that part's least member there."""
+    """Members (key, s, part) of buckets with led: are they in the part that has most members in the bucket, and, if these
+    are ``CROWD`` or more, apart: their distance to a member of that part, the same one in all buckets that it leads."""
     held = materialise(members.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("s").alias("ref")), "bucket-part-sizes")
-    most = held.groupBy("key").agg(F.max(F.struct("n", "part", "ref")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"))
-    most = materialise(most.where("parts > 1").select("key", F.col("most.part").alias("main"), F.col("most.ref").alias("ref"), "n"), "bucket-most")
+    refs = materialise(held.where(F.col("n") >= CROWD).groupBy("part").agg(F.min("ref").alias("ref")), "part-refs")
+    most = held.groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    most = materialise(most.where("parts > 1").select("key", F.col("most.part").alias("main"), F.col("most.n").alias("own"), "n"), "bucket-most")
+    most = spread_join(most, refs.toDF("main", "ref"), "main", how="left")
+    most = materialise(most.withColumn("ref", F.when(F.col("own") >= CROWD, F.col("ref"))).drop("own"), "bucket-most")
     named = materialise(spread_join(members, most.drop("n"), "key", most.select("key", "n")), "bucket-members")
     pairs = materialise(named.where("s <> ref").select("s", "ref").distinct().join(sigs, "s"), "stars")
     pairs = spread_join(pairs.toDF("b", "a", "sig_b"), sigs.toDF("a", "sig_a"), "a")
     apart = measured(pairs).toDF("ref", "s", "apart")
-    named = named.join(apart, ["ref", "s"], "left").fillna(0, ["apart"])
+    named = named.join(apart, ["ref", "s"], "left").withColumn("apart", F.when(F.col("s") == F.col("ref"), 0).otherwise(F.col("apart")))
     return named.select("key", "s", "part", (F.col("part") == F.col("main")).alias("led"), "apart")
 
 
@@ -250,13 +277,16 @@ def in_reach(members: DataFrame) -> DataFrame:
     """Those members (key, s, part, led, apart) of buckets that could be near one that is not in the leading part.
 
     ``apart`` is the distance to a member of that part. By the triangle inequality two members are at least as far apart as these
-    distances differ, so a stranger that chance put in a bucket meets none of a large group of near copies.
+    distances differ, so a stranger that chance put in a bucket meets none of a large group of near copies. Buckets without
+    such distances stay whole.
     """
     other = lambda c: F.when(~F.col("led"), F.col(c))
-    ranges = members.groupBy("key").agg(F.min(other("apart")).alias("low"), F.max(other("apart")).alias("high"), F.count("*").alias("n"))
+    told, rest = members.where("apart is not null"), members.where("apart is null")
+    ranges = told.groupBy("key").agg(F.min(other("apart")).alias("low"), F.max(other("apart")).alias("high"), F.count("*").alias("n"))
     ranges = materialise(ranges.where("low is not null"), "bucket-ranges")
-    found = spread_join(members, ranges.drop("n"), "key", ranges.select("key", "n"))
-    return found.where(f"not led or apart between low - {FAR} and high + {FAR}").drop("low", "high", "apart")
+    found = spread_join(told, ranges.drop("n"), "key", ranges.select("key", "n"))
+    found = found.where(f"not led or apart between low - {FAR} and high + {FAR}").drop("low", "high", "apart")
+    return found.unionByName(rest.drop("apart"))
 
 
 def blocks(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -298,9 +328,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest doc_id that links of similarity 0.8 or more reach.
 
     Texts with one shingle set (copies, other case or white space, all texts without a word) are one node. Nodes that
-    share a key meet in its bucket: first each with the bucket's leader, so that a large group of near copies takes
-    about as many comparisons as it has members; then, in blocks, those outside the part that leads by then meet all that
-    may be near them.
+    share a key meet in its bucket: first each with the leader of its most crowded bucket, so that a large group of near
+    copies gets few parts by as many comparisons as it has members, not that many in each bucket that they share; buckets
+    of two are done then. In the others those outside the part that leads by then meet, in blocks, all that may be near
+    them.
     """
     prints = materialise(signatures(docs), "signatures")
     columns = [F.first(c).alias(c) for c in ("size", "keys", "sig")]
@@ -309,7 +340,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     buckets = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("lead")).where("n > 1"), "golay-buckets")
     members = materialise(spread_join(keyed, buckets, "key", buckets.select("key", "n")), "golay-shared")
     sigs = reps.select("s", "sig")
-    star = materialise(members.where("s <> lead").select("s", "lead").distinct().join(sigs, "s"), "stars")
+    star = materialise(leaders(members).join(sigs, "s"), "stars")
     star = spread_join(star.toDF("b", "a", "sig_b"), sigs.toDF("a", "sig_a"), "a")
     nodes = reps.select("s", "t").join(members.select("s").distinct(), "s", "left_semi")
     nodes = materialise(nodes, "candidate-sets")

@@ -119,3 +119,23 @@ def test_a_stranger_meets_no_large_group(spark):
     members = spark.createDataFrame([x[:3] for x in rows], "key long, s long, part long")
     found = similar.in_reach(_common.materialise(similar.led_by_most(members, sigs), "led")).collect()
     assert sorted((x["key"], x["s"], x["led"]) for x in found) == [(1, 5, False), *((1, s, True) for s in range(100, 150)), (2, 6, False)]
+
+
+def test_rows_of_a_group_grow_with_its_members(spark, monkeypatch):
+    r, measured = random.Random(5), similar.measured
+    base = [f"{r.choice(WORDS)}{r.randrange(50)}" for _ in range(150)]
+    rows = [(i, " ".join(f"x{r.randrange(10**6)}" if k in at else w for k, w in enumerate(base))) for i in range(200) for at in [r.sample(range(150), r.randrange(1, 5))]]
+    counts = []
+    monkeypatch.setattr(similar, "measured", lambda pairs: counts.append(pairs.count()) or measured(pairs))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in similar.near_copies(docs).collect()} == groups(rows)
+    assert sum(counts) <= 6 * len(rows), counts
+
+
+def test_first_here_is_first_shared():
+    r = np.random.default_rng(6)
+    a, b = (r.integers(0, 90, (400, similar.TABLES * similar.KEYS)) for _ in range(2))
+    sizes = r.integers(4, 40, (400, 2))
+    first = [similar.first_shared(x, y, *n) for x, y, n in zip(a, b, sizes.tolist(), strict=True)]
+    for key in {k for k in first if k >= 0} | {9 << 28}:
+        assert similar.first_here(key, a, b, sizes.max(axis=1)).tolist() == [i for i, k in enumerate(first) if k == key]
