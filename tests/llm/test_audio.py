@@ -2,6 +2,7 @@ import hashlib
 import io
 import wave
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +122,11 @@ def test_empty(empty):
     assert audio.digested(audio.stored_recordings(empty)).count() == 0
     assert audio.stored_features(empty).count() == 0
     assert audio.audio_features(empty).count() == 0
+
+
+def test_media_are_packed_closely(spark, documents, tmp_path):
+    first = len(_common.WRITTEN)
+    audio.stored_recordings(documents)
+    audio.media_of(documents).write.options(**audio._PACKED).parquet(f"{tmp_path}/media")
+    size = lambda path: sum(f.stat().st_size for f in Path(path.removeprefix("file://")).glob("*.parquet"))
+    assert 0 < size(_common.WRITTEN[first]) < 0.95 * size(f"{tmp_path}/media")
