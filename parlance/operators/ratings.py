@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import hash32
+from parlance.functions.text import hash32, rounded
 from parlance.operators.vectors import breakdown, topk_trials
 
 
@@ -95,7 +95,7 @@ def failures(results: DataFrame, metadata: DataFrame, shown: int | None = None,
 
 def trial_values(results: DataFrame) -> DataFrame:
     """(trial, value, n_ratings)."""
-    return results.groupBy("trial").agg(F.round(F.avg("rating"), 6).alias("value"), F.count("*").alias("n_ratings"))
+    return results.groupBy("trial").agg(rounded(F.avg("rating"), 6).alias("value"), F.count("*").alias("n_ratings"))
 
 
 def best_trial(values: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 from parlance.config import MARKERS, WINDOWS
-from parlance.functions.text import rating, strip, trim_response
+from parlance.functions.text import rating, rounded, strip, trim_response
 from parlance.operators import examples, providers, ratings, reports, sampling, states, transcripts, vectors
 from parlance.sources import io
 from pyspark.sql import functions as F
@@ -115,6 +115,15 @@ def test_rating_and_trim(spark):
         assert spark.createDataFrame([(s,)], "s string").select(strip(F.col("s"))).first()[0] == s.strip()
 
 
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    values = [i / 10**6 for i in range(-99950, 100000, 100)] + [0.32985, 0.329849, 0.0015625, -0.00004, 0.00005, 0.0, 4.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(rounded(F.col("v"), 4).cast("decimal(9,4)").cast("string")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)::DECIMAL(9, 4)::VARCHAR", [v]).fetchall()[0][0] for v in values]
+
+
 VECTORS = [(0, "A", [1.0, 0.0, 0.0, 1.0]), (1, "A", [1.0, 0.0, 1.0, 0.0]), (2, "B", [1.0, 0.0, 0.0, 1.0]), (3, "B", [0.0, 1.0, 0.0, 1.0]), (4, "C", [0.6, 0.8, 1.0, 0.0])]
 
 
