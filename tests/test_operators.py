@@ -240,3 +240,31 @@ def test_non_ascii_and_nulls_in_json_lines(spark, tmp_path):
 def test_empty_tables(spark):
     none = transcripts.parse(spark.createDataFrame([], "conv_id string, transcript string"))
     assert states.states(none).count() == examples.examples(none, id_column="conv_id").count() == transcripts.repair(none).count() == 0
+
+
+@pytest.mark.parametrize("same_group", ["drop", "keep"])
+def test_all_trials_meet_a_candidate_in_one_pass(spark, monkeypatch, same_group):
+    rng = np.random.default_rng(5)
+    made = rng.normal(size=(700, 16))
+    made[300:500] = made[:200]  # exact copies: equal scores, ties by id
+    made[600:] = np.round(made[600:])
+    made[650:] = 0
+    df = spark.createDataFrame([(i, str(i % 3) if i % 50 else None, v.tolist()) for i, v in enumerate(made)], "vec_id long, label string, embedding array<double>").repartition(3)
+    names, trials = list("abcd"), {t: dict(zip("abcd", w, strict=True)) for t, w in enumerate(rng.uniform(0.01, 10, (30, 4)).tolist())}
+    trials[30] = {"a": 3.0, "b": -1.0, "c": 0.5, "d": 0.1}
+    for name, n in (("CHUNK", 64), ("FIRST", 16), ("TILE", 32), ("PAIRS", 100), ("GATHERED", 500)):
+        monkeypatch.setattr(vectors, name, n)
+    found = vectors.topk_trials(df.where("vec_id < 200"), df, trials, names, 5, same_group=same_group)
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    got = {}
+    for r in found.orderBy("trial", "query_id", "rank").collect():
+        got.setdefault((r["trial"], r["query_id"]), []).append((r["cand_id"], r["score"]))
+    unit = vectors.unit_windows(made, 4)
+    label = np.array([i % 3 if i % 50 else -1 for i in range(700)])  # no group: nothing is left out
+    cosines = np.einsum("qwd,cwd->qcw", unit[:200], unit)
+    for t, w in trials.items():
+        total = sum(w.values())
+        scores = np.round(cosines @ np.array([x / total for x in w.values()]), 6) + 0.0
+        for q in range(200):
+            best = sorted((-scores[q, c], c) for c in range(700) if same_group == "keep" or label[q] < 0 or label[q] != label[c])[:5]
+            assert [c for c, _ in got[t, q]] == [c for _, c in best] and np.allclose([s for _, s in got[t, q]], [-s for s, _ in best], atol=2e-6)
