@@ -268,3 +268,39 @@ def test_all_trials_meet_a_candidate_in_one_pass(spark, monkeypatch, same_group)
         for q in range(200):
             best = sorted((-scores[q, c], c) for c in range(700) if same_group == "keep" or label[q] < 0 or label[q] != label[c])[:5]
             assert [c for c, _ in got[t, q]] == [c for _, c in best] and np.allclose([s for _, s in got[t, q]], [-s for s, _ in best], atol=2e-6)
+
+
+def test_memory_of_search_and_embedder_is_bounded(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        """A table whose function runs here; its session hands a broadcast value back."""
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    rng, at_once = np.random.default_rng(1), 4000
+    block = [(i, None, v) for i, v in enumerate(rng.normal(size=(4096, 64)))]
+    rows = Rows()
+    rows.sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda x: type("B", (), {"value": x}))})})
+    unit = vectors._shared(rows, block, {0: np.full(8, 0.125)})
+    made = rng.normal(size=(at_once, 64))
+    batch = pa.record_batch([pa.array(range(at_once)), pa.array([None] * at_once, pa.string()), pa.array(list(made))], ["vec_id", "g", "embedding"])
+    run = vectors._against(unit, rows, 5, "drop")
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([batch]))) == 4096 * 5
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 2**20  # a block against a chunk in doubles is 32 MB, and was there several times
+
+    def provider():
+        def embed(texts):
+            assert len(texts) <= 512
+            return np.ones((len(texts), 4))
+
+        return embed
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("text")).coalesce(1)
+    assert providers.embed_distinct(df, 4, provider).count() == 3000
